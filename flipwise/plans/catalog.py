@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle as O
+from .registry_eval import EVAL_QUERIES, EVAL_SQL
 from .registry_profile import PROFILE_QUERIES, PROFILE_SQL
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -19,12 +20,14 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {}
     out.update(PROFILE_QUERIES)
+    out.update(EVAL_QUERIES)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(PROFILE_SQL)
+    out.update(EVAL_SQL)
     return out
 
 
