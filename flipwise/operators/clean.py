@@ -69,7 +69,10 @@ def impute_median(df: DataFrame, cols: list[str] | None = None,
     """Fill NULLs of each column with that column's own median.
 
     Columns are imputed independently (so an imputed difference need not equal
-    the difference of imputed parts, as in the analysed pipeline).
+    the difference of imputed parts, as in the analysed pipeline).  All
+    medians come from one aggregate job; its one-row result is broadcast to
+    every partition (size bound: one row).  Scalar subqueries would let unused
+    medians be pruned, but each is executed on its own, so one job is cheaper.
     """
     cols = C.IMPUTED_VITALS if cols is None else cols
     med = median_row(df, cols, method).select(*[F.col(c).alias(f"__med_{c}") for c in cols])

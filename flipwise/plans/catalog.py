@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle as O
 from .registry_eval import EVAL_QUERIES, EVAL_SQL
+from .registry_models import MODEL_QUERIES
 from .registry_profile import PROFILE_QUERIES, PROFILE_SQL
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,7 @@ def queries() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {}
     out.update(PROFILE_QUERIES)
     out.update(EVAL_QUERIES)
+    out.update(MODEL_QUERIES)
     return out
 
 
