@@ -1,13 +1,13 @@
 """Derived columns and model features.
 
-Lookups are left joins against a tiny dimension table built from a fixed
-dictionary and broadcast: its size is bounded by the dictionary (12 or 5
-rows), never by the data.  Everything else is a narrow projection.
+Lookups of fixed dictionaries (12 or 5 entries) are literal map
+expressions, so they cost no join and no broadcast job; everything here is a
+narrow projection inside whole-stage codegen.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,26 +16,35 @@ from ..functions.binning import (equals_flag, member_flag, right_closed_bin,
                                  right_closed_ordinal, rule_flag)
 
 
-def dimension(spark: SparkSession, mapping: dict, key: str, value: str,
-              key_type: T.DataType) -> DataFrame:
-    """Small two-column dimension table from a dictionary."""
-    schema = T.StructType([T.StructField(key, key_type, False),
-                           T.StructField(value, T.StringType(), True)])
-    return spark.createDataFrame([(k, v) for k, v in mapping.items()], schema)
+def literal_map(mapping: dict, key_type: T.DataType | None = None):
+    """A fixed dictionary as a map expression (evaluated inside codegen)."""
+    items = []
+    for k, v in mapping.items():
+        items += [F.lit(k).cast(key_type) if key_type is not None else F.lit(k), F.lit(v)]
+    return F.create_map(*items)
 
 
 def lookup(df: DataFrame, key: str, mapping: dict, out: str,
            fallback_to_key: bool = False) -> DataFrame:
-    """Code -> name, unmapped -> NULL (T3: left join, never inner).
+    """Code -> name, unmapped -> NULL (T3: never drops a row).
 
-    ``fallback_to_key`` (B8b) uses the code's text where no name is known.
+    A fixed dictionary of a few entries is a literal map expression: no
+    join, no exchange, no broadcast job.  ``fallback_to_key`` (B8b) uses the
+    code's text where no name is known.  Large or data-driven dimensions use
+    :func:`lookup_join`.
     """
     key_type = df.schema[key].dataType
-    dim = dimension(df.sparkSession, mapping, "__key", out, key_type)
-    joined = df.join(F.broadcast(dim), df[key] == dim["__key"], "left").drop("__key")
+    name = F.try_element_at(literal_map(mapping, key_type), F.col(key))
     if fallback_to_key:
-        joined = joined.withColumn(out, F.coalesce(F.col(out), F.col(key).cast("string")))
-    return joined
+        name = F.coalesce(name, F.col(key).cast("string"))
+    return df.withColumn(out, name)
+
+
+def lookup_join(df: DataFrame, key: str, dim: DataFrame, dim_key: str, out: str) -> DataFrame:
+    """J1 for a dimension table: left join (unmapped -> NULL).  No broadcast
+    hint: the planner / AQE broadcast it when its measured size is small."""
+    d = dim.select(F.col(dim_key).alias("__key"), F.col(out))
+    return df.join(d, df[key] == d["__key"], "left").drop("__key")
 
 
 def add_diagnosis_name(df: DataFrame, code: str = C.CODE, out: str = C.DIAGNOSIS,
@@ -93,17 +102,34 @@ def rederive_keys(df: DataFrame) -> DataFrame:
 
 
 def category_levels(df: DataFrame, col: str, max_levels: int = 1000) -> list:
-    """Sorted distinct non-NULL levels of a categorical column.
+    """Sorted distinct non-NULL levels of a categorical column."""
+    return category_levels_multi(df, [col], max_levels)[col]
+
 
-    The level list is schema (one output column per level), so it has to be
-    known on the driver; it is bounded by ``max_levels`` and the call fails
-    rather than building an unbounded schema.
+def category_levels_multi(df: DataFrame, cols: list[str], max_levels: int = 1000) -> dict:
+    """Sorted distinct non-NULL levels of several categorical columns, one job.
+
+    The level lists are schema (one output column per level), so they have to
+    be known on the driver.  The job reads distinct (column, level) pairs,
+    capped at ``max_levels`` per column; a column with more levels is an error
+    rather than an unbounded schema.
     """
-    rows = (df.where(F.col(col).isNotNull()).select(col).distinct()
-            .orderBy(col).limit(max_levels + 1).collect())
-    if len(rows) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels; not a one-hot column")
-    return [r[0] for r in rows]
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("v"))
+                                for i, c in enumerate(cols)]))
+    rows = (df.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull())
+            .distinct().limit(max_levels * len(cols) + 1).collect())
+    out = {}
+    for i, c in enumerate(cols):
+        vals = [r["v"] for r in rows if r["c"] == i]
+        if len(vals) > max_levels:
+            raise ValueError(f"{c} has more than {max_levels} levels; not a one-hot column")
+        typ = df.schema[c].dataType
+        if isinstance(typ, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
+            vals = [int(v) for v in vals]
+        elif isinstance(typ, (T.DoubleType, T.FloatType)):
+            vals = [float(v) for v in vals]
+        out[c] = sorted(vals)
+    return out
 
 
 def one_hot(df: DataFrame, col: str, prefix: str, levels: list | None = None,
@@ -125,6 +151,10 @@ def model_features(df: DataFrame, base: list[str] | None = None,
                    code_levels: list | None = None) -> tuple[DataFrame, list[str]]:
     """base features + insurance dummies + code dummies, as doubles."""
     base = C.BASE_FEATURES if base is None else base
+    need = [c for c, lv in ((C.INSURANCE, ins_levels), (C.CODE, code_levels)) if lv is None]
+    found = category_levels_multi(df, need) if need else {}
+    ins_levels = found.get(C.INSURANCE, ins_levels)
+    code_levels = found.get(C.CODE, code_levels)
     d, ins_cols = one_hot(df, C.INSURANCE, "Ins", ins_levels)
     d, code_cols = one_hot(d, C.CODE, "DRG", code_levels)
     feats = list(base) + ins_cols + code_cols

@@ -24,19 +24,23 @@ from pyspark.sql import functions as F
 
 
 def two_level_rank(df: DataFrame, strata: list[str], order: list[Column], bucket: Column,
-                   out: str = "rank") -> DataFrame:
+                   out: str = "rank", total_out: str | None = None) -> DataFrame:
     """Add ``out``: 0-based row number in ``order`` within each stratum.
 
     ``bucket`` must be non-decreasing in ``order`` and take few distinct values
     (e.g. 65 536); ties in ``order`` must be broken by the caller for a
-    deterministic result.
+    deterministic result.  ``total_out`` adds the stratum's row count (taken
+    from the same small table, no extra pass over the rows).
     """
     b = df.withColumn("__bucket", bucket)
     counts = b.groupBy(*strata, "__bucket").agg(F.count(F.lit(1)).alias("__cnt"))
     before = (Window.partitionBy(*strata).orderBy("__bucket")
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*strata, "__bucket",
-                            F.coalesce(F.sum("__cnt").over(before), F.lit(0)).cast("bigint").alias("__off"))
+    cols = [*strata, "__bucket",
+            F.coalesce(F.sum("__cnt").over(before), F.lit(0)).cast("bigint").alias("__off")]
+    if total_out:
+        cols.append(F.sum("__cnt").over(Window.partitionBy(*strata)).cast("bigint").alias(total_out))
+    offsets = counts.select(*cols)
     inner = Window.partitionBy(*strata, "__bucket").orderBy(*order)
     return (b.join(offsets, [*strata, "__bucket"], "inner")
             .withColumn(out, F.col("__off") + F.row_number().over(inner).cast("bigint") - F.lit(1))

@@ -25,11 +25,9 @@ def assign_split(df: DataFrame, label: str = C.OUTCOME, id_col: str = C.ID,
     key = hash_order_key(id_col, seed)
     keyed = df.withColumn("__key", key)
     ranked = two_level_rank(keyed, [label], [F.col("__key"), F.col(id_col)],
-                            hash_bucket(F.col("__key"), hex_digits), out="__rank")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+                            hash_bucket(F.col("__key"), hex_digits), out="__rank", total_out="__n")
     n_test = F.ceil(F.lit(float(test_fraction)) * F.col("__n").cast("double"))
-    out = (ranked.join(sizes, [label], "inner")
-           .withColumn("__ntest", n_test)
+    out = (ranked.withColumn("__ntest", n_test)
            .withColumn("split", F.when(F.col("__rank") < F.col("__ntest"), F.lit("test"))
                        .otherwise(F.lit("train"))))
     if n_folds:

@@ -63,7 +63,11 @@ def prepare(df_clean: DataFrame, label: str = C.OUTCOME, n_folds: int = C.N_FOLD
     d = TR.assemble(d, feats, "features")
     d = TR.assemble(d, z, "features_z")
     d = d.select(*KEEP, "split", "fold", "class_weight", "features", "features_z")
-    return d.checkpoint(eager=True), feats
+    # Spread the rows evenly over every core of the cluster before writing:
+    # AQE may have coalesced the upstream shuffles to a few partitions, and
+    # each fit's parallelism is the partition count of this table.
+    parts = max(1, d.sparkSession.sparkContext.defaultParallelism)
+    return d.repartition(parts).checkpoint(eager=True), feats
 
 
 def _fit_all(jobs, parallelism: int):
