@@ -4,10 +4,10 @@ importances and risk from the best model (F1-F22).
 Plan:
 
 1. cleaned rows -> one-hot features -> stratified split + folds (two-level
-   rank) -> training-median fill -> standardised copy (training statistics)
-   -> vectors; this table is written once to the session's reliable
-   checkpoint folder, so every fit reads it from shared storage and a lost
-   executor never forces the cleaning to be recomputed;
+   rank), written once to the session's reliable checkpoint folder, so the
+   statistics and every fit read it from shared storage and a lost executor
+   never forces the cleaning to be recomputed; then training-median fill,
+   class weights, standardised copy (training statistics) and vectors;
 2. the final fits (training rows) and the k-fold fits (training rows minus
    one fold) are independent Spark jobs submitted from a thread pool, so the
    cluster runs them concurrently;
@@ -51,23 +51,33 @@ class TrainResult:
 
 
 def prepare(df_clean: DataFrame, label: str = C.OUTCOME, n_folds: int = C.N_FOLDS) -> tuple[DataFrame, list[str]]:
-    """Step 1: features, split, folds, fill, standardise, vectors (checkpointed)."""
-    ensure_checkpoint_dir(df_clean.sparkSession)
+    """Step 1: features, split and folds, written once to the reliable
+    checkpoint folder; then fill, weights, standardisation and vectors.
+
+    The train-only statistics (medians, class sizes, means, sds) are small
+    aggregate jobs over the checkpointed table, so none of them recomputes the
+    cleaning.  The rows are spread over every core of the cluster before the
+    write (AQE may have coalesced upstream shuffles), because each fit's
+    parallelism is the partition count of this table.
+    """
+    spark = df_clean.sparkSession
+    ensure_checkpoint_dir(spark)
     d, feats = FE.model_features(df_clean)
-    d = SP.assign_split(d, label, C.ID, n_folds=n_folds)
+    d = SP.assign_split(d, label, C.ID, n_folds=n_folds).select(*KEEP, "split", "fold", *[
+        f for f in feats if f not in KEEP])
+    parts = max(1, spark.sparkContext.defaultParallelism)
+    base = d.repartition(parts).checkpoint(eager=True)
     is_train = F.col("split") == "train"
-    d = TR.fill_with_fit_median(d, feats, is_train)
+    d = TR.fill_with_fit_median(base, feats, is_train)
     d = TR.balanced_weights(d, label, is_train)
     z = [f"{c}__z" for c in feats]
     d = SP.standardise(d, feats, is_train, suffix="__z")
     d = TR.assemble(d, feats, "features")
     d = TR.assemble(d, z, "features_z")
     d = d.select(*KEEP, "split", "fold", "class_weight", "features", "features_z")
-    # Spread the rows evenly over every core of the cluster before writing:
-    # AQE may have coalesced the upstream shuffles to a few partitions, and
-    # each fit's parallelism is the partition count of this table.
-    parts = max(1, d.sparkSession.sparkContext.defaultParallelism)
-    return d.repartition(parts).checkpoint(eager=True), feats
+    # Narrow steps over the checkpoint plus one-row broadcasts: cheap to
+    # recompute, kept for the many passes of the fits.
+    return d.persist(StorageLevel.MEMORY_AND_DISK), feats
 
 
 def _fit_all(jobs, parallelism: int):
