@@ -42,17 +42,28 @@ def _join_groups(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFr
 
 
 def box_stats(df: DataFrame, value: str, groups: list[str] | None = None,
-              sd_digits: int | None = 9) -> DataFrame:
-    """Per group: n, q1, median, q3, IQR, fences, mean, population sd, min, max."""
+              sd_digits: int | None = 9, method: str = "exact") -> DataFrame:
+    """Per group: n, q1, median, q3, IQR, fences, mean, population sd, min, max.
+
+    ``method='distributed'`` takes the quartiles from :mod:`quantile` (same
+    values, bounded work per task for continuous measures).
+    """
     groups = list(groups or [])
     base = _keys_not_null(df, value, groups)
     g = base.groupBy(*groups) if groups else base.groupBy()
     sd = F.stddev_pop(value)
-    st = g.agg(F.count(value).alias("n"),
-               F.percentile(value, [0.25, 0.5, 0.75]).alias("__q"),
-               F.avg(value).alias("mean"),
-               (fixed(sd, sd_digits) if sd_digits is not None else sd).alias("sd"),
-               F.min(value).alias("min"), F.max(value).alias("max"))
+    others = [F.avg(value).alias("mean"),
+              (fixed(sd, sd_digits) if sd_digits is not None else sd).alias("sd"),
+              F.min(value).alias("min"), F.max(value).alias("max")]
+    if method == "distributed":
+        from .quantile import exact_quantiles
+        qs = exact_quantiles(base, value, [0.25, 0.5, 0.75], groups)
+        gq = qs.groupBy(*groups) if groups else qs.groupBy()
+        quart = gq.agg(F.array(*[F.max(F.when(F.col("p") == p, F.col("quantile")))
+                                 for p in (0.25, 0.5, 0.75)]).alias("__q"))
+        st = _join_groups(g.agg(F.count(value).alias("n"), *others), quart, groups)
+    else:
+        st = g.agg(F.count(value).alias("n"), F.percentile(value, [0.25, 0.5, 0.75]).alias("__q"), *others)
     return (st.select(*groups, "n", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
                       F.col("__q")[2].alias("q3"), "mean", "sd", "min", "max")
             .withColumn("iqr", F.col("q3") - F.col("q1"))
@@ -61,10 +72,10 @@ def box_stats(df: DataFrame, value: str, groups: list[str] | None = None,
 
 
 def box_summary(df: DataFrame, value: str, groups: list[str] | None = None,
-                sd_digits: int | None = 9) -> DataFrame:
+                sd_digits: int | None = 9, method: str = "exact") -> DataFrame:
     """Box statistics plus whiskers and the outlier count (two passes)."""
     groups = list(groups or [])
-    st = box_stats(df, value, groups, sd_digits)
+    st = box_stats(df, value, groups, sd_digits, method)
     base = _keys_not_null(df, value, groups)
     v = F.col(value)
     fences = st.select(*groups, "lower_fence", "upper_fence")

@@ -183,9 +183,16 @@ def median_order(df: DataFrame, key: str = C.DIAGNOSIS, value: str = C.LOS,
     """Per-key median, with its descending rank (key as tie-break).
 
     The rank window runs over the aggregated table (one row per key).
+    ``method='distributed'`` computes the same exact medians with bounded
+    work per task for continuous measures (see :mod:`quantile`).
     """
-    m = F.median(value) if method == "exact" else F.percentile_approx(value, 0.5, 100_000).cast("double")
-    agg = df.where(F.col(key).isNotNull()).groupBy(key).agg(m.alias("median"))
+    base = df.where(F.col(key).isNotNull())
+    if method == "distributed":
+        from .quantile import exact_median
+        agg = exact_median(base, value, [key])
+    else:
+        m = F.median(value) if method == "exact" else F.percentile_approx(value, 0.5, 100_000).cast("double")
+        agg = base.groupBy(key).agg(m.alias("median"))
     w = Window.orderBy(F.col("median").desc(), F.col(key))
     return agg.withColumn("order", F.row_number().over(w))
 
