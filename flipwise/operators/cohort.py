@@ -22,20 +22,26 @@ def cohort_predicate(in_sets: dict[str, list] | None = None,
     one (option lists come from ``unique()``, which keeps it); SQL ``IN`` never
     matches NULL.  ``include_null[col]=True`` restores that behaviour; a
     ``None`` inside the value list does the same.  Range predicates drop NULLs.
+    Used as a filter, a NULL predicate rejects the row, so no ``coalesce`` is
+    needed - and none is used, because it would stop the IN lists and ranges
+    from being pushed into the Parquet scan.
     """
     in_sets = in_sets or {}
     ranges = ranges or {}
     include_null = dict(include_null or {})
-    cond = F.lit(True)
+    parts = []
     for c, values in in_sets.items():
         vals = [v for v in values if v is not None]
         nulls = include_null.get(c, False) or len(vals) != len(values)
         p = F.col(c).isin(vals) if vals else F.lit(False)
         if nulls:
             p = p | F.col(c).isNull()
-        cond = cond & F.coalesce(p, F.lit(False))
+        parts.append(p)
     for c, (lo, hi) in ranges.items():
-        cond = cond & (F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi))
+        parts += [F.col(c) >= F.lit(lo), F.col(c) <= F.lit(hi)]
+    cond = F.lit(True)
+    for p in parts:
+        cond = cond & p
     return cond
 
 

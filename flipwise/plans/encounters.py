@@ -3,12 +3,17 @@ starts from, and the derived inputs of the evaluation and risk queries."""
 
 from __future__ import annotations
 
+import hashlib
+import os
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators.clean import clean_vitals
 from ..operators.features import derive_features
+from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import raw_encounters
 
 
@@ -17,8 +22,33 @@ def cleaned(df_raw: DataFrame, median_method: str = "exact") -> DataFrame:
     return derive_features(clean_vitals(df_raw, median_method))
 
 
-def cleaned_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaned(raw_encounters(spark, sf_dir))
+# Cleaned tables written by this application, per input folder.
+_WRITTEN: dict[tuple[str, str], str] = {}
+_LOCK = threading.Lock()
+
+
+def cleaned_encounters(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
+    """The cleaned encounter table of ``sf_dir``.
+
+    Like the analysed pipeline, cleaning is its own step whose output every
+    analysis reads: the table is written once per application as Parquet
+    into the session's reliable checkpoint folder (shared storage on a
+    cluster) and read back, so the lineage is cut (a lost executor re-reads
+    files instead of re-running the joins and the median job), later queries
+    never repeat the cleaning, and their filters and column pruning reach
+    this scan.  ``materialise=False`` returns the lazy plan instead.
+    """
+    if not materialise:
+        return cleaned(raw_encounters(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    with _LOCK:
+        path = _WRITTEN.get(key)
+        if path is None:
+            tag = hashlib.md5(key[1].encode()).hexdigest()[:12]
+            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cleaned-encounters-{tag}"
+            cleaned(raw_encounters(spark, sf_dir)).write.mode("overwrite").parquet(path)
+            _WRITTEN[key] = path
+    return spark.read.parquet(path)
 
 
 # Deterministic stand-in score for checking the evaluation operators against

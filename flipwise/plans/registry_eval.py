@@ -441,3 +441,14 @@ _c, _s = _box_sql("n_chars", "quality", "ld")
 @register("document_length_box", "WITH " + _DOC_CTE + ", " + _c + " " + _s)
 def q_document_length_box(spark, sf_dir):
     return DI.box_summary(labelled_documents(spark, sf_dir), "n_chars", ["quality"])
+
+
+@register("feature_matrix_shape", O.with_clean(
+    f"SELECT COUNT(*) AS n_rows, CAST({len(_FEATS)} AS BIGINT) AS n_features,"
+    " CAST(SUM(Flipped) AS DOUBLE) / CAST(COUNT(Flipped) AS DOUBLE) AS positive_rate FROM clean"))
+def q_feature_matrix_shape(spark, sf_dir):
+    """rows x features of the model matrix and the class balance."""
+    d, feats = FE.model_features(cleaned_encounters(spark, sf_dir))
+    return d.agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.lit(len(feats)).cast("bigint").alias("n_features"),
+                 (F.sum(C.OUTCOME).cast("double") / F.count(C.OUTCOME).cast("double")).alias("positive_rate"))

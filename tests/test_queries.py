@@ -68,13 +68,21 @@ def test_cohort_predicates_reach_the_scan(spark, sf_small):
 
 
 def test_fixture_reads_only_needed_columns(spark, sf_small):
+    from flipwise.operators import profile as PR
+    from flipwise.plans.encounters import cleaned_encounters
+    lazy = cleaned_encounters(spark, sf_small, materialise=False)
     # vitals need only the quantity of each line item
-    s = _plan(E.queries()["vitals_compare"](spark, sf_small))
+    s = _plan(PR.vitals_compare(lazy))
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in s
     # a rate by diagnosis needs no line item at all: the optimizer drops the join
-    s = _plan(E.queries()["flip_rate_by_diagnosis"](spark, sf_small))
+    s = _plan(PR.outcome_rate(lazy, "DiagnosisName"))
     assert "lineitem" not in s
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string>" in s
+    # the materialised cleaned table is read with pruning and pushed filters
+    s = _plan(E.queries()["cohort_filtered_rates"](spark, sf_small))
+    pushed = s.split("PushedFilters: [")[1].split("]")[0]
+    assert "In(InsuranceGroup" in pushed and "Age" in pushed
+    assert "ReadSchema: struct<Age:double,Gender:string,Flipped:int,InsuranceGroup:string>" in s
 
 
 def _unpartitioned_windows(df):
