@@ -190,7 +190,8 @@ _STD_CTE = (SPLIT_CTE + f", fx AS (SELECT encounter_id, split, {_FEAT_SQL} FROM
         f" * CAST(1000000000.0 AS DOUBLE), 0) / CAST(1000000000.0 AS DOUBLE) AS {c}" for c in _FEATS)
     + " FROM fx CROSS JOIN fs", _STD_CTE))
 def q_standardised_features(spark, sf_dir):
-    d, feats = FE.model_features(split_encounters(spark, sf_dir))
+    d, feats = FE.model_features(cleaned_encounters(spark, sf_dir))
+    d = SP.assign_split(d)
     z = SP.standardise(d, feats, F.col("split") == "train", digits=9)
     return z.select(C.ID, "split", *feats)
 
