@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle as O
 from .registry_eval import EVAL_QUERIES, EVAL_SQL
 from .registry_models import MODEL_QUERIES
 from .registry_profile import PROFILE_QUERIES, PROFILE_SQL
@@ -33,4 +32,4 @@ def oracle_sql() -> dict[str, str]:
     return out
 
 
-__all__ = ["queries", "oracle_sql", "O"]
+__all__ = ["queries", "oracle_sql"]

@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.numeric import pct
 from ..functions.text import extract_number, fixed_text, mean_sd_text, pretty_feature
 from ..operators import evaluate as EV
 from ..operators import features as FE
@@ -234,7 +233,3 @@ def trained(spark: SparkSession, sf_dir: str) -> tuple[TrainResult, DataFrame]:
             res = train_and_score(cleaned_encounters(spark, sf_dir))
             _RESULTS[key] = (res, model_metrics(res).cache())
         return _RESULTS[key]
-
-
-def add_pct(df: DataFrame, col: str, out: str) -> DataFrame:
-    return df.withColumn(out, pct(col))
