@@ -86,10 +86,15 @@ def test_fixture_reads_only_needed_columns(spark, sf_small):
 
 
 def _unpartitioned_windows(df):
-    df.collect()
-    lines = [ln for ln in _plan(df).split("\n") if "Window [" in ln]
+    from tools.plan_report import final_plan, window_is_unpartitioned
+    lines = [ln for ln in final_plan(df).split("\n") if "Window [" in ln]
     assert lines, "expected window operators"
-    return [ln for ln in lines if "], [], [" in ln]
+    return [ln for ln in lines if window_is_unpartitioned(ln)]
+
+
+def test_window_detector_sees_global_windows(spark, sf_small):
+    # a rank over the per-key medians is a global window (small aggregated table)
+    assert len(_unpartitioned_windows(E.queries()["los_median_order"](spark, sf_small))) == 1
 
 
 def test_no_single_partition_window_on_rows(spark, sf_small):
