@@ -78,15 +78,19 @@ def score_curve(df: DataFrame, label: str = C.OUTCOME, score: str = "score",
 
 
 def pr_curve(curve: DataFrame, score: str = "score", by: list[str] | None = None) -> DataFrame:
-    """F8: (threshold, precision, recall); the final point has a NULL threshold."""
+    """F8: (threshold, precision, recall); the final point has a NULL threshold.
+
+    The final point is emitted by the top-score row of each group in the same
+    pass (an ``explode``), so the curve is computed once.
+    """
     by = list(by or [])
     recall = F.when(F.col("P") > 0, ratio("tp", "P")).otherwise(F.lit(1.0))
-    pts = curve.select(*by, F.col(score).alias("threshold"),
-                       ratio("tp", F.col("tp") + F.col("fp")).alias("precision"),
-                       recall.alias("recall"))
-    last = (curve.where("is_first").select(*by, F.lit(None).cast("double").alias("threshold"),
-                                           F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
-    return pts.unionByName(last)
+    pt = F.struct(F.col(score).cast("double").alias("threshold"),
+                  ratio("tp", F.col("tp") + F.col("fp")).alias("precision"), recall.alias("recall"))
+    fin = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
+                   F.lit(0.0).alias("recall"))
+    pts = F.when(F.col("is_first"), F.array(pt, fin)).otherwise(F.array(pt))
+    return curve.select(*by, F.inline(pts))
 
 
 def _f1(p, r):
@@ -137,18 +141,22 @@ def average_precision(curve: DataFrame, by: list[str] | None = None, digits: int
 
 def roc_curve(curve: DataFrame, score: str = "score", by: list[str] | None = None,
               drop_intermediate: bool = True) -> DataFrame:
-    """(fpr, tpr, threshold) points, starting at (0, 0) with a NULL threshold."""
+    """(fpr, tpr, threshold) points, starting at (0, 0) with a NULL threshold.
+
+    The start point is emitted by the top-score row (always kept) in the same
+    pass, so the curve is computed once.
+    """
     by = list(by or [])
     pts = curve
     if drop_intermediate:
         keep = (F.col("is_first") | F.col("next_pos").isNull()
                 | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
         pts = pts.where(keep)
-    body = pts.select(*by, ratio("fp", "N").alias("fpr"), ratio("tp", "P").alias("tpr"),
-                      F.col(score).alias("threshold"))
-    start = curve.where("is_first").select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
-                                           F.lit(None).cast("double").alias("threshold"))
-    return start.unionByName(body)
+    pt = F.struct(ratio("fp", "N").alias("fpr"), ratio("tp", "P").alias("tpr"),
+                  F.col(score).cast("double").alias("threshold"))
+    start = F.struct(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
+                     F.lit(None).cast("double").alias("threshold"))
+    return pts.select(*by, F.inline(F.when(F.col("is_first"), F.array(start, pt)).otherwise(F.array(pt))))
 
 
 def confusion_counts(df: DataFrame, thresholds: DataFrame, label: str = C.OUTCOME,
