@@ -22,35 +22,43 @@ def cleaned(df_raw: DataFrame, median_method: str = "exact") -> DataFrame:
     return derive_features(clean_vitals(df_raw, median_method))
 
 
-# Cleaned tables written by this application, per input folder.
-_WRITTEN: dict[tuple[str, str], str] = {}
-_LOCK = threading.Lock()
+# Tables written by this application, per (name, input folder).
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+_LOCK = threading.RLock()  # re-entrant: one stored table may build on another
 
 
-def cleaned_encounters(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
-    """The cleaned encounter table of ``sf_dir``.
+def stored_once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Write ``build()`` once per application as Parquet into the session's
+    reliable checkpoint folder (shared storage on a cluster) and read it back.
 
-    Like the analysed pipeline, cleaning is its own step whose output every
-    analysis reads: the table is written once per application as Parquet
-    into the session's reliable checkpoint folder (shared storage on a
-    cluster) and read back, so the lineage is cut (a lost executor re-reads
-    files instead of re-running the joins and the median job), later queries
-    never repeat the cleaning, and their filters and column pruning reach
-    this scan.  ``materialise=False`` returns the lazy plan instead.
+    Cuts the lineage (a lost executor re-reads files instead of re-running the
+    upstream joins and aggregates), lets later queries skip the upstream work,
+    and makes their filters and column pruning reach this scan.
     """
-    if not materialise:
-        return cleaned(raw_encounters(spark, sf_dir))
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (spark.sparkContext.applicationId, name, os.path.abspath(sf_dir))
     with _LOCK:
         path = _WRITTEN.get(key)
         if path is None:
-            tag = hashlib.md5(key[1].encode()).hexdigest()[:12]
-            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cleaned-encounters-{tag}"
-            cleaned(raw_encounters(spark, sf_dir)).write.mode("overwrite").parquet(path)
+            tag = hashlib.md5(key[2].encode()).hexdigest()[:12]
+            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{tag}"
+            build().write.mode("overwrite").parquet(path)
             _WRITTEN[key] = path
     return spark.read.parquet(path)
 
 
+def cleaned_encounters(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
+    """The cleaned encounter table of ``sf_dir``.
+
+    Like the analysed pipeline, cleaning is its own step whose output every
+    analysis reads: it is stored once per application (:func:`stored_once`).
+    ``materialise=False`` returns the lazy plan instead.
+    """
+    if not materialise:
+        return cleaned(raw_encounters(spark, sf_dir))
+    return stored_once(spark, sf_dir, "cleaned-encounters",
+                       lambda: cleaned(raw_encounters(spark, sf_dir)))
+
+
 # Deterministic stand-in score for checking the evaluation operators against
 # SQL: a dyadic rational (k / 512) built from row columns, so every sum of
 # scores is exact in floating point and ties are plentiful.

@@ -55,17 +55,16 @@ def prepare(df_clean: DataFrame, label: str = C.OUTCOME, n_folds: int = C.N_FOLD
 
     The train-only statistics (medians, class sizes, means, sds) are small
     aggregate jobs over the checkpointed table, so none of them recomputes the
-    cleaning.  The rows are spread over every core of the cluster before the
-    write (AQE may have coalesced upstream shuffles), because each fit's
-    parallelism is the partition count of this table.
+    cleaning.  The rows are spread round-robin before the write (AQE may have
+    coalesced upstream shuffles) into :func:`training_partitions` partitions,
+    because each fit's parallelism is the partition count of this table.
     """
     spark = df_clean.sparkSession
     ensure_checkpoint_dir(spark)
     d, feats = FE.model_features(df_clean)
     d = SP.assign_split(d, label, C.ID, n_folds=n_folds).select(*KEEP, "split", "fold", *[
         f for f in feats if f not in KEEP])
-    parts = max(1, spark.sparkContext.defaultParallelism)
-    base = d.repartition(parts).checkpoint(eager=True)
+    base = d.repartition(training_partitions(df_clean)).checkpoint(eager=True)
     is_train = F.col("split") == "train"
     d = TR.fill_with_fit_median(base, feats, is_train)
     d = TR.balanced_weights(d, label, is_train)
@@ -79,6 +78,23 @@ def prepare(df_clean: DataFrame, label: str = C.OUTCOME, n_folds: int = C.N_FOLD
     return d.persist(StorageLevel.MEMORY_AND_DISK), feats
 
 
+MIN_ROWS_PER_PART = 20_000
+MAX_ROWS_PER_PART = 1_000_000
+
+
+def training_partitions(df: DataFrame) -> int:
+    """Partitions of the training table: one per core, but never fewer than
+    20k or more than 1M rows each.  Small tables stay in few partitions (the
+    k-fold fits run concurrently, so each fit needs little parallelism and
+    many tiny tasks only add scheduling), large ones split into ~1M-row
+    partitions whatever the core count.  The count is read from a stored
+    Parquet table, so it costs no pass over the rows."""
+    n = df.count()
+    cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    per = min(max(-(-n // cores), MIN_ROWS_PER_PART), MAX_ROWS_PER_PART)
+    return max(1, -(-n // per))
+
+
 def _fit_all(jobs, parallelism: int):
     lock = threading.Lock()
     out = {}

@@ -17,7 +17,7 @@ from ..operators import scenario as SC
 from ..operators import split as SP
 from ..sources.fixtures import labelled_documents
 from . import oracle as O
-from .encounters import cleaned_encounters, rule_score
+from .encounters import cleaned_encounters, rule_score, stored_once
 from .registry_profile import COHORT, _COHORT_WHERE, _CODE_KEPT, _INS_KEPT
 
 EVAL_QUERIES = {}
@@ -153,7 +153,10 @@ SPLIT_CTE = (
 
 
 def split_encounters(spark, sf_dir):
-    return SP.assign_split(cleaned_encounters(spark, sf_dir))
+    """Cleaned table with the stratified split and folds, stored once per
+    application (the split is a fixed artefact of the modelling step)."""
+    return stored_once(spark, sf_dir, "split-encounters",
+                       lambda: SP.assign_split(cleaned_encounters(spark, sf_dir)))
 
 
 @register("stratified_split", O.with_clean(
@@ -190,8 +193,7 @@ _STD_CTE = (SPLIT_CTE + f", fx AS (SELECT encounter_id, split, {_FEAT_SQL} FROM
         f" * CAST(1000000000.0 AS DOUBLE), 0) / CAST(1000000000.0 AS DOUBLE) AS {c}" for c in _FEATS)
     + " FROM fx CROSS JOIN fs", _STD_CTE))
 def q_standardised_features(spark, sf_dir):
-    d, feats = FE.model_features(cleaned_encounters(spark, sf_dir))
-    d = SP.assign_split(d)
+    d, feats = FE.model_features(split_encounters(spark, sf_dir))
     z = SP.standardise(d, feats, F.col("split") == "train", digits=9)
     return z.select(C.ID, "split", *feats)
 

@@ -3,6 +3,12 @@
 ``get_session`` is for local runs and tests.  On a cluster the caller owns the
 session; the library only reads ``spark.checkpoint.dir`` from it and never
 picks a machine-local folder unless the setting is absent (local/test use).
+
+Sizing on a cluster: keep ``spark.sql.shuffle.partitions`` high (a few times
+the core count) and let AQE coalesce small partitions towards
+``spark.sql.adaptive.advisoryPartitionSizeInBytes``; AQE also splits skewed
+join partitions.  Scans split input at ``spark.sql.files.maxPartitionBytes``
+(128 MB).  Locally the shuffle partitions equal the core count.
 """
 
 from __future__ import annotations
