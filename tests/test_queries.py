@@ -101,6 +101,8 @@ def test_no_single_partition_window_on_rows(spark, sf_small):
     """The split and the per-model curves never gather rows into one task:
     every window operator has a partition key."""
     from flipwise.operators import evaluate as EV
-    assert _unpartitioned_windows(E.queries()["stratified_split"](spark, sf_small)) == []
+    from flipwise.operators.split import assign_split
+    from flipwise.plans.encounters import cleaned_encounters
+    assert _unpartitioned_windows(assign_split(cleaned_encounters(spark, sf_small))) == []
     sc = spark.createDataFrame([(i % 7 / 7.0, i % 2, i % 3) for i in range(500)], "score double, Flipped int, m int")
     assert _unpartitioned_windows(EV.score_curve(sc, by=["m"])) == []
