@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .packing import pack
+from .quality_rules import apply_policy, ledger
 from .token_counts import token_counts
 from .token_index import token_shards
 
@@ -15,12 +17,24 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = apply_policy(ledger(table(spark, sf_dir, "documents")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                         "kept", "fail_bits", "policy")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 SQL: dict[str, str] = {}
