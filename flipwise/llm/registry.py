@@ -5,22 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing
 from .common import table
+from .exact_dedup import exact_groups
 from .packing import pack
 from .quality_rules import apply_policy, ledger
 from .token_counts import token_counts
 from .token_index import token_shards
+from .warc import archive
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    levels = mixing.document_levels()
+    taken = mixing.mix(docs, levels, mixing.WEIGHTS, fraction=mixing.FRACTION, max_epochs=mixing.EPOCHS, seed=mixing.SEED)
+    named = {n: F.coalesce(c, F.lit(mixing.NONE)) for n, c in levels.items()}
+    return taken.select("doc_id", *(c.alias(n) for n, c in named.items()), F.col("__n_tokens").alias("n_tokens"),
+                        F.col("__epochs").alias("n_epochs"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = apply_policy(ledger(table(spark, sf_dir, "documents")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -33,8 +54,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
+    "op2_warc_bundles": op2_warc_bundles,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_mixing": op6_mixing,
+    "op7_exact_dedup": op7_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
-SQL: dict[str, str] = {}
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {i + 1}, 5))::INT >> {s}) & 31) + 1, 1)"
+                      for i in range(0, 40, 5) for s in (15, 10, 5, 0))
+_WORD = r"[^\x20\x09-\x0D]+"
+SQL: dict[str, str] = {
+    "op2_warc_bundles": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, max(page_id) OVER (PARTITION BY h, payload_bytes) AS winner FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> winner THEN winner END AS refers_to FROM d""",
+    "op6_mixing": mixing.mixing_sql(),
+    "op7_exact_dedup": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d""",
+}
