@@ -12,6 +12,7 @@ from .common import table
 from .exact_dedup import exact_groups
 from .near_dedup import near_classes
 from .packing import pack
+from .pii import personal_data
 from .quality_model import judged
 from .quality_rules import apply_policy, ledger
 from .token_counts import token_counts
@@ -27,6 +28,10 @@ def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
@@ -66,6 +71,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_warc_bundles": op2_warc_bundles,
+    "op3_personal_data": op3_personal_data,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_mixing": op6_mixing,
