@@ -114,9 +114,9 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, int
                             | {"__tokens": F.coalesce(tokens, F.lit(0)).cast("long")})
     leaves = stored(rows.groupBy(*names).agg(F.sum("__tokens").alias("available")), "mixing-leaves")
     budgets = stored(leaf_budgets(leaves, names, weights, target, fraction, max_epochs), "mixing-budgets")
-    with_budget = rows.join(budgets.select(*names, "epochs", "rest"), names)
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), identity))
-    keyed = stored(with_budget.where("rest > 0").select(*names, "rest", order.alias("key"), F.col("__tokens").alias("tokens")), "mixing-keys")
+    with_budget = rows.join(budgets.select(*names, F.col("epochs").alias("__whole"), F.col("rest").alias("__rest")), names)
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__whole").cast("string"), identity))
+    keyed = stored(with_budget.where("__rest > 0").select(*names, F.col("__rest").alias("rest"), order.alias("key"), F.col("__tokens").alias("tokens")), "mixing-keys")
     first = keyed.withColumn("b1", F.substring("key", 1, 2)).groupBy(*names, "rest", "b1").agg(F.sum("tokens").alias("tokens"))
     cut1 = _cut(first, "b1", names, "rest")
     in1 = keyed.drop("rest").withColumn("b1", F.substring("key", 1, 2)).join(cut1, [*names, "b1"])
@@ -126,8 +126,8 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, int
     upto = Window.partitionBy(*names).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     over = in2.withColumn("sum", F.sum("tokens").over(upto)).where(F.col("sum") > F.col("left"))
     # the first key that no longer fits; a leaf without one is taken whole (its rest is 0 then, by its number of epochs)
-    ends = stored(over.groupBy(*names).agg(F.min("key").alias("end")), "mixing-ends")
-    taken = F.col("epochs") + F.when((F.col("rest") > 0) & (F.col("end").isNull() | (order < F.col("end"))), 1).otherwise(0)
+    ends = stored(over.groupBy(*names).agg(F.min("key").alias("__end")), "mixing-ends")
+    taken = F.col("__whole") + F.when((F.col("__rest") > 0) & (F.col("__end").isNull() | (order < F.col("__end"))), 1).otherwise(0)
     return with_budget.join(ends, names, "left").withColumn("__epochs", taken).where("__epochs > 0") \
         .select(*(F.col(f"`{c}`") for c in docs.columns), F.col("__tokens").alias("__n_tokens"), F.col("__epochs").cast("int"))
 

@@ -276,7 +276,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns."""
     kept = near_classes(docs, id_col, text_col, **kw).where("kept").select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"))
-    inner = docs.withColumns({"__key": F.col(id_col).cast("long"), "__md5": F.md5(whole_text(text_col))})
-    found = inner.join(kept, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__content")), "left_semi")
-    repeated = Window.partitionBy("__key", "__md5").orderBy(F.col(text_col).isNull())
-    return found.withColumn("__nth", F.row_number().over(repeated)).where("__nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(id_col).cast("long").alias("__key"),
+                       F.md5(whole_text(text_col)).alias("__md5"), F.col(text_col).isNull().alias("__null"))
+    found = rows.join(kept, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__content")), "left_semi")
+    repeated = Window.partitionBy("__key", "__md5").orderBy("__null")
+    return found.withColumn("__nth", F.row_number().over(repeated)).where("__nth = 1").select("__row.*")
