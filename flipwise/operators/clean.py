@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.numeric import to_double
+from .quantile import median_map
 
 
 def coerce_numeric(df: DataFrame, col: str) -> DataFrame:
@@ -45,24 +46,18 @@ def screen_upper_bounds(df: DataFrame, bounds: dict[str, float] | None = None) -
         for c, b in bounds.items()})
 
 
-def median_row(df: DataFrame, cols: list[str], method: str = "exact",
+def median_row(df: DataFrame, cols: list[str], method: str = "distributed",
                accuracy: int = 100_000) -> DataFrame:
     """One-row table of per-column medians, NULLs skipped.
 
-    ``exact`` is the mean of the two middle values (``median``), equal to the
-    analysed pipeline.  Its partial aggregate keeps one counter per distinct
-    value, so memory is bounded by the number of distinct values (measured
-    vitals: a few hundred), not by rows.  ``distributed`` gives the same exact
-    values for continuous high-cardinality columns with bounded work per task
-    (:mod:`quantile`; all columns in one pass after an unpivot).  ``approx``
-    uses the bounded-memory quantile sketch.
+    ``distributed`` is the exact median (mean of the two middle values) with
+    bounded work per task at any number of distinct values (:mod:`quantile`;
+    all columns in one pass after an unpivot).  ``exact`` gives the same values
+    from the built-in aggregate, which keeps one counter per distinct value in
+    one task.  ``approx`` uses the bounded-memory quantile sketch.
     """
     if method == "distributed":
-        from .quantile import exact_median
-        long = df.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__val")) for c in cols])))
-        med = exact_median(long, "__val", ["__col"])
-        return med.groupBy().pivot("__col", cols).agg(F.first("median")).select(*cols)
+        return median_map(df, cols)
     if method == "exact":
         aggs = [F.median(c).alias(c) for c in cols]
     elif method == "approx":
@@ -73,7 +68,7 @@ def median_row(df: DataFrame, cols: list[str], method: str = "exact",
 
 
 def impute_median(df: DataFrame, cols: list[str] | None = None,
-                  method: str = "exact") -> DataFrame:
+                  method: str = "distributed") -> DataFrame:
     """Fill NULLs of each column with that column's own median.
 
     Columns are imputed independently (so an imputed difference need not equal
@@ -98,7 +93,7 @@ def repair_vitals(df: DataFrame) -> DataFrame:
     return screen_upper_bounds(d)
 
 
-def clean_vitals(df: DataFrame, method: str = "exact") -> DataFrame:
+def clean_vitals(df: DataFrame, method: str = "distributed") -> DataFrame:
     """B1-B5 then B7."""
     return impute_median(repair_vitals(df), C.IMPUTED_VITALS, method)
 
@@ -114,18 +109,14 @@ def null_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def imputation_report(raw: DataFrame, cols: list[str] | None = None,
-                      method: str = "exact") -> DataFrame:
+                      method: str = "distributed") -> DataFrame:
     """B6 + B7: per imputed column, NULLs before imputation and the median used."""
     cols = C.IMPUTED_VITALS if cols is None else cols
     repaired = repair_vitals(raw)
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"n{i}"))
-        aggs.append((F.median(c) if method == "exact"
-                     else F.percentile_approx(c, 0.5, 100_000).cast("double")).alias(f"m{i}"))
-    one = repaired.agg(*aggs)
+    counts = repaired.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)])
+    one = counts.crossJoin(median_row(repaired, cols, method))  # one row each
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_missing"),
-                              F.col(f"m{i}").alias("median"))
+                              F.col(c).alias("median"))
                      for i, c in enumerate(cols)])
     return one.select(F.inline(rows))
 

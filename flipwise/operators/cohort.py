@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ALL = "All"
+#: The option that stands for every value of a key.
+ALL = "All Diagnoses"
 
 
 def cohort_predicate(in_sets: dict[str, list] | None = None,
@@ -50,9 +51,9 @@ def cohort_filter(df: DataFrame, in_sets=None, ranges=None, include_null=None) -
     return df.where(cohort_predicate(in_sets, ranges, include_null))
 
 
-def key_filter(df: DataFrame, col: str, value) -> DataFrame:
-    """``col = value``, or every row when ``value`` is the 'All' choice."""
-    if value is None or value == ALL or str(value).startswith(ALL):
+def key_filter(df: DataFrame, col: str, value, all_value: str = ALL) -> DataFrame:
+    """``col = value``, or every row when ``value`` is None or exactly the 'all' option."""
+    if value is None or value == all_value:
         return df
     return df.where(F.col(col) == F.lit(value))
 

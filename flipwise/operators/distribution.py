@@ -12,10 +12,13 @@ exact rules are ours and stated here:
 * histogram bins have a "nice" width (1, 2 or 5 times a power of ten) that is
   at least range / n_bins, aligned on multiples of the width.
 
-Plan shape: every summary is a grouped aggregate (partial + final), and the
-second pass (whiskers, outliers, density) joins a per-group statistics table
-(one row per group) back to the rows or to the binned counts.  The density
+Plan shape: rows are aggregated once to moments per group and once to distinct
+values with counts per group (``quantile.collapse``); quartiles, whiskers,
+outlier counts and bins come from the latter.  A per-group statistics table
+(one row per group) meets values or rows on (group, salt), the salt being a
+hash of the value: two groups of all rows never mean two tasks.  The density
 join pairs at most ``n_grid x n_bins`` rows per group, whatever the data size.
+Nothing is rounded unless digits are asked for.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import fixed, ratio
+from .quantile import collapse, exact_quantiles
 
 
 def _keys_not_null(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
@@ -35,35 +39,53 @@ def _keys_not_null(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
     return df.where(cond)
 
 
+#: Tasks that a group's values are dealt to when they meet the group's statistics.
+SALTS = 32
+
+
 def _join_groups(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFrame:
+    """Join of two per-group tables (one row, or a bounded number of rows, per group)."""
     if groups:
         return left.join(right, groups, "inner")
     return left.crossJoin(F.broadcast(right))  # one-row statistics table
 
 
+def with_stats(rows: DataFrame, stats: DataFrame, groups: list[str], spread: str) -> DataFrame:
+    """``rows`` with their group's statistics, joined on (group, salt); the salt is a hash of the column ``spread``."""
+    if not groups:
+        return rows.crossJoin(F.broadcast(stats))  # one-row statistics table
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    copies = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*groups, "__salt"], "inner").drop("__salt")
+
+
+def _quartiles(df: DataFrame, value: str, groups: list[str], method: str) -> DataFrame:
+    """(groups.., __q = [q1, median, q3])."""
+    if method == "exact":
+        return _grouped(_keys_not_null(df, value, groups), groups).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("__q"))
+    qs = exact_quantiles(df, value, [0.25, 0.5, 0.75], groups)
+    return _grouped(qs, groups).agg(F.array(*[F.max(F.when(F.col("p") == p, F.col("quantile"))) for p in (0.25, 0.5, 0.75)]).alias("__q"))
+
+
+def _grouped(df: DataFrame, groups: list[str]):
+    return df.groupBy(*groups) if groups else df.groupBy()
+
+
 def box_stats(df: DataFrame, value: str, groups: list[str] | None = None,
-              sd_digits: int | None = 9, method: str = "exact") -> DataFrame:
+              sd_digits: int | None = None, method: str = "distributed") -> DataFrame:
     """Per group: n, q1, median, q3, IQR, fences, mean, population sd, min, max.
 
-    ``method='distributed'`` takes the quartiles from :mod:`quantile` (same
-    values, bounded work per task for continuous measures).
+    Quartiles come from :mod:`quantile`; ``method='exact'`` takes the built-in
+    aggregate with the same values, whose state is one counter per distinct
+    value.  ``sd_digits`` rounds the standard deviation.
     """
     groups = list(groups or [])
     base = _keys_not_null(df, value, groups)
-    g = base.groupBy(*groups) if groups else base.groupBy()
     sd = F.stddev_pop(value)
-    others = [F.avg(value).alias("mean"),
-              (fixed(sd, sd_digits) if sd_digits is not None else sd).alias("sd"),
-              F.min(value).alias("min"), F.max(value).alias("max")]
-    if method == "distributed":
-        from .quantile import exact_quantiles
-        qs = exact_quantiles(base, value, [0.25, 0.5, 0.75], groups)
-        gq = qs.groupBy(*groups) if groups else qs.groupBy()
-        quart = gq.agg(F.array(*[F.max(F.when(F.col("p") == p, F.col("quantile")))
-                                 for p in (0.25, 0.5, 0.75)]).alias("__q"))
-        st = _join_groups(g.agg(F.count(value).alias("n"), *others), quart, groups)
-    else:
-        st = g.agg(F.count(value).alias("n"), F.percentile(value, [0.25, 0.5, 0.75]).alias("__q"), *others)
+    moments = _grouped(base, groups).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), (fixed(sd, sd_digits) if sd_digits is not None else sd).alias("sd"),
+        F.min(value).alias("min"), F.max(value).alias("max"))
+    st = _join_groups(moments, _quartiles(df, value, groups, method), groups)
     return (st.select(*groups, "n", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
                       F.col("__q")[2].alias("q3"), "mean", "sd", "min", "max")
             .withColumn("iqr", F.col("q3") - F.col("q1"))
@@ -72,18 +94,17 @@ def box_stats(df: DataFrame, value: str, groups: list[str] | None = None,
 
 
 def box_summary(df: DataFrame, value: str, groups: list[str] | None = None,
-                sd_digits: int | None = 9, method: str = "exact") -> DataFrame:
-    """Box statistics plus whiskers and the outlier count (two passes)."""
+                sd_digits: int | None = None, method: str = "distributed") -> DataFrame:
+    """Box statistics plus whiskers and the outlier count, from the distinct values of each group."""
     groups = list(groups or [])
     st = box_stats(df, value, groups, sd_digits, method)
-    base = _keys_not_null(df, value, groups)
-    v = F.col(value)
-    fences = st.select(*groups, "lower_fence", "upper_fence")
-    j = _join_groups(base.select(*groups, value), fences, groups)
-    g = j.groupBy(*groups) if groups else j.groupBy()
-    wh = g.agg(F.min(F.when(v >= F.col("lower_fence"), v)).alias("lower_whisker"),
-               F.max(F.when(v <= F.col("upper_fence"), v)).alias("upper_whisker"),
-               F.count_if((v < F.col("lower_fence")) | (v > F.col("upper_fence"))).alias("n_outliers"))
+    kind = df.schema[value].dataType
+    v, cnt = F.col("__v"), F.col("__cnt")
+    j = with_stats(collapse(df, value, groups), st.select(*groups, "lower_fence", "upper_fence"), groups, "__v")
+    out = (v < F.col("lower_fence")) | (v > F.col("upper_fence"))
+    wh = _grouped(j, groups).agg(F.min(F.when(v >= F.col("lower_fence"), v)).cast(kind).alias("lower_whisker"),
+                                 F.max(F.when(v <= F.col("upper_fence"), v)).cast(kind).alias("upper_whisker"),
+                                 F.coalesce(F.sum(F.when(out, cnt)), F.lit(0)).alias("n_outliers"))
     return _join_groups(st, wh, groups)
 
 
@@ -92,42 +113,45 @@ def box_outliers(df: DataFrame, value: str, groups: list[str] | None = None,
     """The rows outside the 1.5 IQR fences of their group."""
     groups = list(groups or [])
     keep = list(keep or [])
-    st = box_stats(df, value, groups, None).select(*groups, "lower_fence", "upper_fence")
-    base = _keys_not_null(df, value, groups).select(*keep, *[g for g in groups if g not in keep], value)
+    st = box_stats(df, value, groups).select(*groups, "lower_fence", "upper_fence")
+    base = _keys_not_null(df, value, groups).select(*keep, *[g for g in groups if g not in keep], *([] if value in keep else [value]))
     v = F.col(value)
-    return (_join_groups(base, st, groups)
+    return (with_stats(base, st, groups, value)
             .where((v < F.col("lower_fence")) | (v > F.col("upper_fence")))
-            .select(*keep, *[g for g in groups if g not in keep], value))
+            .select(*keep, *[g for g in groups if g not in keep], *([] if value in keep else [value])))
 
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
 
 
 def density(df: DataFrame, value: str, groups: list[str] | None = None,
-            n_grid: int = 64, n_bins: int = 256, digits: int | None = 12) -> DataFrame:
+            n_grid: int = 64, n_bins: int = 256, digits: int | None = None,
+            method: str = "distributed") -> DataFrame:
     """Gaussian kernel density per group on a grid (violin outline).
 
+    An approximation: the kernel is summed over ``n_bins`` bin centres, not over
+    single values; more bins come closer.
+
     Bandwidth h = 0.9 * min(sd, IQR / 1.34) * n^(-1/5); if that spread is 0 the
     sd is used, and 1.0 when the group is constant.
     """
     groups = list(groups or [])
     base = _keys_not_null(df, value, groups)
-    g = base.groupBy(*groups) if groups else base.groupBy()
-    st = (g.agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"),
-                F.stddev_pop(value).alias("sd"),
-                F.percentile(value, [0.25, 0.75]).alias("__q"))
-          .withColumn("__a", F.least(F.col("sd"), (F.col("__q")[1] - F.col("__q")[0]) / F.lit(1.34)))
+    moments = _grouped(base, groups).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"),
+                                         F.stddev_pop(value).alias("sd"))
+    st = (_join_groups(moments, _quartiles(df, value, groups, method), groups)
+          .withColumn("__a", F.least(F.col("sd"), (F.col("__q")[2] - F.col("__q")[0]) / F.lit(1.34)))
           .withColumn("__spread", F.when(F.col("__a") > 0, F.col("__a"))
                       .when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0)))
           .withColumn("h", F.lit(0.9) * F.col("__spread") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
           .withColumn("w", (F.col("hi") - F.col("lo")) / F.lit(float(n_bins)))
           .select(*groups, "n", "lo", "hi", "h", "w"))
-    v = F.col(value)
-    binned = (_join_groups(base.select(*groups, value), st.select(*groups, "lo", "w"), groups)
+    v = F.col("__v")
+    binned = (with_stats(collapse(df, value, groups), st.select(*groups, "lo", "w"), groups, "__v")
               .withColumn("__b", F.when(F.col("w") > 0,
                                         F.least(F.floor((v - F.col("lo")) / F.col("w")),
                                                 F.lit(n_bins - 1))).otherwise(F.lit(0)))
-              .groupBy(*groups, "__b", "lo", "w").agg(F.count(F.lit(1)).alias("__c"))
+              .groupBy(*groups, "__b", "lo", "w").agg(F.sum("__cnt").alias("__c"))
               .select(*groups, (F.col("lo") + (F.col("__b") + F.lit(0.5)) * F.col("w")).alias("__center"),
                       "__c"))
     grid = (st.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))

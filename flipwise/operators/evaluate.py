@@ -25,22 +25,19 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.numeric import fixed, ratio
+from .distribution import with_stats
+from .quantile import cut_bucket, sketch_cuts
 
-N_BUCKETS = 65536
-
-
-def _bucket(score: str, n_buckets: int):
-    return F.least(F.greatest(F.floor(F.col(score) * F.lit(float(n_buckets))), F.lit(0)),
-                   F.lit(n_buckets)).cast("int")
+N_BUCKETS = 4096
 
 
 def score_curve(df: DataFrame, label: str = C.OUTCOME, score: str = "score",
                 by: list[str] | None = None, n_buckets: int = N_BUCKETS) -> DataFrame:
     """One row per (by, distinct score): pos, neg, tp, fp, P, N, is_first, next_pos, next_neg.
 
-    Rows with a NULL label or score are ignored.  Buckets assume scores in
-    [0, 1] for balance (probabilities); other scores are clamped into the end
-    buckets, which keeps the result exact.
+    Rows with a NULL label or score are ignored.  The buckets lie between cut
+    points of a bounded sketch of the scores themselves (one job), so any
+    range or crowding of scores spreads evenly; the result is exact with any cuts.
     """
     by = list(by or [])
     y = F.col(label)
@@ -48,7 +45,7 @@ def score_curve(df: DataFrame, label: str = C.OUTCOME, score: str = "score",
     g = (base.groupBy(*by, score)
          .agg(F.sum(y).cast("bigint").alias("pos"), F.count(y).alias("__n"))
          .withColumn("neg", F.col("__n") - F.col("pos")).drop("__n")
-         .withColumn("__b", _bucket(score, n_buckets)))
+         .withColumn("__b", cut_bucket(score, sketch_cuts(base, score, n_buckets))))
     # Small table: one row per (by, bucket).
     bt = g.groupBy(*by, "__b").agg(
         F.sum("pos").alias("__bpos"), F.sum("neg").alias("__bneg"),
@@ -129,8 +126,8 @@ def roc_auc(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
                    F.lit(2.0) * F.col("P").cast("double") * F.col("N").cast("double")).alias("roc_auc"))
 
 
-def average_precision(curve: DataFrame, by: list[str] | None = None, digits: int | None = 12) -> DataFrame:
-    """step-rule average precision, sum(pos * precision) / P (fixed to ``digits``)."""
+def average_precision(curve: DataFrame, by: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    """step-rule average precision, sum(pos * precision) / P; rounded only if ``digits`` is given."""
     by = list(by or [])
     g = curve.groupBy(*by) if by else curve.groupBy()
     ap = ratio(F.col("__s"), F.col("P"))
@@ -164,10 +161,10 @@ def confusion_counts(df: DataFrame, thresholds: DataFrame, label: str = C.OUTCOM
     """F10 + F13 as one row per group: tn, fp, fn, tp at ``score >= threshold``.
 
     ``thresholds`` has one row per group (``by`` columns + ``threshold``).
+    Rows meet it on (group, salt of the score), not on a handful of groups.
     """
     by = list(by or [])
-    t = thresholds.select(*by, "threshold")
-    j = df.join(t, by, "inner") if by else df.crossJoin(F.broadcast(t))
+    j = with_stats(df.select(*by, label, score), thresholds.select(*by, "threshold"), by, score)
     y = F.col(label)
     pred = F.col(score) >= F.col("threshold")
     g = j.groupBy(*by) if by else j.groupBy()

@@ -30,8 +30,7 @@ def lookup(df: DataFrame, key: str, mapping: dict, out: str,
 
     A fixed dictionary of a few entries is a literal map expression: no
     join, no exchange, no broadcast job.  ``fallback_to_key`` (B8b) uses the
-    code's text where no name is known.  Large or data-driven dimensions use
-    :func:`lookup_join`.
+    code's text where no name is known.
     """
     key_type = df.schema[key].dataType
     name = F.try_element_at(literal_map(mapping, key_type), F.col(key))
@@ -40,13 +39,6 @@ def lookup(df: DataFrame, key: str, mapping: dict, out: str,
     return df.withColumn(out, name)
 
 
-def lookup_join(df: DataFrame, key: str, dim: DataFrame, dim_key: str, out: str) -> DataFrame:
-    """J1 for a dimension table: left join (unmapped -> NULL).  No broadcast
-    hint: the planner / AQE broadcast it when its measured size is small."""
-    d = dim.select(F.col(dim_key).alias("__key"), F.col(out))
-    return df.join(d, df[key] == d["__key"], "left").drop("__key")
-
-
 def add_diagnosis_name(df: DataFrame, code: str = C.CODE, out: str = C.DIAGNOSIS,
                        names: dict[int, str] | None = None) -> DataFrame:
     """B8."""
@@ -101,28 +93,25 @@ def rederive_keys(df: DataFrame) -> DataFrame:
     return add_age_group(add_diagnosis_name(df.drop(C.DIAGNOSIS, C.AGE_GROUP)))
 
 
-def category_levels(df: DataFrame, col: str, max_levels: int = 1000) -> list:
+def category_levels(df: DataFrame, col: str) -> list:
     """Sorted distinct non-NULL levels of a categorical column."""
-    return category_levels_multi(df, [col], max_levels)[col]
+    return category_levels_multi(df, [col])[col]
 
 
-def category_levels_multi(df: DataFrame, cols: list[str], max_levels: int = 1000) -> dict:
+def category_levels_multi(df: DataFrame, cols: list[str]) -> dict:
     """Sorted distinct non-NULL levels of several categorical columns, one job.
 
     The level lists are schema (one output column per level), so they have to
-    be known on the driver.  The job reads distinct (column, level) pairs,
-    capped at ``max_levels`` per column; a column with more levels is an error
-    rather than an unbounded schema.
+    be known on the driver: the job reads the distinct (column, level) pairs,
+    as many as the table will have columns.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("v"))
                                 for i, c in enumerate(cols)]))
     rows = (df.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull())
-            .distinct().limit(max_levels * len(cols) + 1).collect())
+            .distinct().collect())
     out = {}
     for i, c in enumerate(cols):
         vals = [r["v"] for r in rows if r["c"] == i]
-        if len(vals) > max_levels:
-            raise ValueError(f"{c} has more than {max_levels} levels; not a one-hot column")
         typ = df.schema[c].dataType
         if isinstance(typ, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
             vals = [int(v) for v in vals]

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.numeric import capped_share, direction, pct, ratio, round_half_even
+from .quantile import cut_bucket, exact_median, sketch_cuts
+from .rank import two_level_rank
 
 
 def _not_null(keys: list[str]):
@@ -179,22 +181,24 @@ def flag_prevalence(df: DataFrame, flags: list[str] | None = None,
 
 
 def median_order(df: DataFrame, key: str = C.DIAGNOSIS, value: str = C.LOS,
-                 method: str = "exact") -> DataFrame:
+                 method: str = "distributed") -> DataFrame:
     """Per-key median, with its descending rank (key as tie-break).
 
-    The rank window runs over the aggregated table (one row per key).
-    ``method='distributed'`` computes the same exact medians with bounded
-    work per task for continuous measures (see :mod:`quantile`).
+    ``distributed`` computes exact medians with bounded work per task
+    (:mod:`quantile`); ``exact`` is the built-in aggregate with the same
+    values.  Keys whose values are all NULL keep a row, ranked last.  The rank
+    goes by buckets of the median, so many keys are not sorted in one task.
     """
     base = df.where(F.col(key).isNotNull())
     if method == "distributed":
-        from .quantile import exact_median
-        agg = exact_median(base, value, [key])
+        agg = base.select(key).distinct().join(exact_median(base, value, [key]), key, "left")
     else:
         m = F.median(value) if method == "exact" else F.percentile_approx(value, 0.5, 100_000).cast("double")
         agg = base.groupBy(key).agg(m.alias("median"))
-    w = Window.orderBy(F.col("median").desc(), F.col(key))
-    return agg.withColumn("order", F.row_number().over(w))
+    cuts = sketch_cuts(base, value, 64)
+    bucket = F.coalesce(-cut_bucket("median", cuts), F.lit(1))
+    return two_level_rank(agg, [], [F.col("median").desc_nulls_last(), F.col(key)], bucket, out="order") \
+        .withColumn("order", (F.col("order") + 1).cast("int"))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

@@ -1,101 +1,101 @@
-"""Exact quantiles without gathering a group's values into one task.
-
-The built-in ``percentile`` / ``median`` aggregate keeps a counter per
-distinct value, and a group's counters meet in one task at the final merge:
-fine for measured vitals (hundreds of values), unbounded for a continuous
-measure at scale.  ``exact_quantiles`` gives the same values with bounded
-work per task:
-
-1. per group: n and a bounded-memory approximate quantile sketch; for each
-   requested probability p the sketch returns two values that bracket the
-   exact order statistics at positions floor((n-1)p) and ceil((n-1)p) - its
-   rank error is at most n / accuracy, and the bracket is 3 n / accuracy
-   wide on each side;
-2. one pass over the rows counts, per group and p, the rows below the
-   bracket and keeps only the rows inside it (about 6 n / accuracy rows);
-3. the kept rows are collapsed to distinct values and ranked inside each
-   (group, p) window, which finds the order statistics exactly; the
-   interpolation is the one of ``percentile`` (R-7, same arithmetic), so the
-   result is identical to the built-in.
-
-Groups with fewer than ``accuracy`` rows skip the sketch bracket and rank all
-their rows.  If a bracket ever missed (the sketch's guarantee rules it out),
-the row would come out NULL rather than wrong.
+"""Exact quantiles with bounded work per task, on one path for every size.
+
+1. Rows collapse to distinct values with counts per group (partial
+   aggregation, so a hot group or value shrinks before the shuffle).
+2. ``sketch_cuts`` asks a bounded quantile sketch of all values for cut
+   points.  They only balance the work: any cuts give the same result.
+3. Each distinct value falls into a bucket between two cuts; running totals
+   over the small (group, bucket) table tell which bucket holds each wanted
+   position.
+4. Only the values of those buckets are ranked, each (group, bucket) in a
+   window of its own, and interpolated like ``percentile`` (R-7).
+
+Joins and windows go by (group, bucket), never by the group alone.  A position
+that no bucket holds cannot occur; it would raise an error, not give NULL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+N_BUCKETS = 512
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], groups: list[str] | None = None,
-                    accuracy: int = 100_000) -> DataFrame:
-    """Rows (groups..., p, quantile) for every group and probability.
 
-    Work per task is bounded by ``accuracy`` rows per group and probability
-    for small groups and about 6 n / accuracy rows for large ones.
-    """
-    groups = list(groups or [])
+def sketch_cuts(df: DataFrame, value: str, n_buckets: int = N_BUCKETS) -> list[float]:
+    """At most ``n_buckets - 1`` ascending cut points of a column's non-NULL values (one job, one bounded row)."""
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    row = df.select(F.col(value).cast("double").alias("v")).agg(F.percentile_approx("v", probs, 8 * n_buckets)).first()
+    return sorted(set(row[0] or []))
+
+
+def cut_bucket(value: str | Column, cuts: list[float]) -> Column:
+    """Number of cuts at or below a value, by binary search in a constant array."""
+    size = 1
+    while size <= len(cuts):
+        size *= 2
+    padded = [repr(float(c)) for c in cuts] + ["Infinity"] * (size - 1 - len(cuts))
+    if size == 1:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(padded)), ",").cast("array<double>")  # folded into one constant
+    steps = F.array(*(F.lit(s) for s in _halves(size)))
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.element_at(table, at + step) <= v, step).otherwise(F.lit(0)))
+
+
+def _halves(size: int) -> list[int]:
+    out = []
+    while size > 1:
+        size //= 2
+        out.append(size)
+    return out
+
+
+def collapse(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
+    """(groups.., __v, __cnt): distinct non-NULL values of each group of non-NULL keys, with their counts."""
     cond = F.col(value).isNotNull()
     for g in groups:
         cond = cond & F.col(g).isNotNull()
-    base = df.where(cond).select(*groups, F.col(value).cast("double").alias("__v"))
-    eps = 3.0 / accuracy
-    lows = [max(0.0, p - eps) for p in probs]
-    highs = [min(1.0, p + eps) for p in probs]
-    g = base.groupBy(*groups) if groups else base.groupBy()
-    stats = g.agg(F.count(F.lit(1)).alias("__n"),
-                  F.percentile_approx("__v", lows + highs, accuracy).alias("__b"))
-    k = len(probs)
-    # Below ``accuracy`` rows the sketch is exact and its answer can sit one
-    # or two positions off the interpolation positions: such groups keep all
-    # their rows (at most ``accuracy``).  Larger groups keep the bracket; the
-    # sketch's rank error n / accuracy leaves a margin of 2 n / accuracy >= 2.
-    big = F.col("__n") >= F.lit(accuracy)
-    bounds = stats.select(*groups, "__n", *[
-        F.struct(F.when(big, F.col("__b")[i]).otherwise(F.lit(float("-inf"))).alias("lo"),
-                 F.when(big, F.col("__b")[k + i]).otherwise(F.lit(float("inf"))).alias("hi")).alias(f"__r{i}")
-        for i in range(k)])
-    j = base.join(bounds, groups, "inner") if groups else base.crossJoin(F.broadcast(bounds))
-    v = F.col("__v")
-    # Pass 2a: rows below each bracket.
-    gj = j.groupBy(*groups) if groups else j.groupBy()
-    below = gj.agg(F.first("__n").alias("__n"),
-                   *[F.count_if(v < F.col(f"__r{i}.lo")).alias(f"__c{i}") for i in range(k)])
-    # Pass 2b: rows inside any bracket, tagged with the bracket(s) they fall in.
-    tags = F.filter(F.array(*[F.when((v >= F.col(f"__r{i}.lo")) & (v <= F.col(f"__r{i}.hi")), F.lit(i))
-                              for i in range(k)]), lambda x: x.isNotNull())
-    inside = (j.select(*groups, "__v", F.explode(tags).alias("__i"))
-              .groupBy(*groups, "__i", "__v").agg(F.count(F.lit(1)).alias("__cnt")))
-    # Positions of the order statistics, relative to the bracket start.
-    pos = below.select(*groups, "__n", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("__i"), F.lit(float(p)).alias("p"), F.col(f"__c{i}").alias("__below"))
-        for i, p in enumerate(probs)])))
-    pos = (pos.withColumn("__h", (F.col("__n") - 1).cast("double") * F.col("p"))
-              .withColumn("__lo", F.floor("__h")).withColumn("__hi", F.ceil("__h")))
-    w = Window.partitionBy(*groups, "__i").orderBy("__v")
-    ranked = (inside.join(pos.select(*groups, "__i", "__below"), [*groups, "__i"], "inner")
-              .withColumn("__end", F.col("__below") + F.sum("__cnt").over(
-                  w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-              .withColumn("__start", F.col("__end") - F.col("__cnt")))
-    # Value at 0-based position r: the row with start <= r < end.
-    at = ranked.select(*groups, "__i", "__v", "__start", "__end")
-    lo_v = (at.join(pos.select(*groups, "__i", "__lo"), [*groups, "__i"], "inner")
-            .where((F.col("__start") <= F.col("__lo")) & (F.col("__lo") < F.col("__end")))
-            .select(*groups, "__i", F.col("__v").alias("__vlo")))
-    hi_v = (at.join(pos.select(*groups, "__i", "__hi"), [*groups, "__i"], "inner")
-            .where((F.col("__start") <= F.col("__hi")) & (F.col("__hi") < F.col("__end")))
-            .select(*groups, "__i", F.col("__v").alias("__vhi")))
-    res = (pos.join(lo_v, [*groups, "__i"], "left").join(hi_v, [*groups, "__i"], "left"))
-    h, lo, hi = F.col("__h"), F.col("__lo").cast("double"), F.col("__hi").cast("double")
-    q = (F.when((F.col("__lo") == F.col("__hi")) | (F.col("__vlo") == F.col("__vhi")), F.col("__vlo"))
+    return df.where(cond).groupBy(*groups, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__cnt"))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], groups: list[str] | None = None,
+                    n_buckets: int = N_BUCKETS) -> DataFrame:
+    """Rows (groups..., p, quantile) for every group and probability, equal to ``percentile``."""
+    groups = list(groups or [])
+    keys = [*groups, "__b"]
+    values = collapse(df, value, groups).withColumn("__b", cut_bucket("__v", sketch_cuts(df, value, n_buckets)))
+    totals = values.groupBy(*keys).agg(F.sum("__cnt").alias("__in"))
+    group = [F.col(g) for g in groups] or [F.lit(0)]
+    upto = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = totals.withColumn("__end", F.sum("__in").over(upto)).withColumn("__n", F.sum("__in").over(Window.partitionBy(*group)))
+    wanted = []
+    for p in probs:
+        h = (F.col("__n") - 1).cast("double") * F.lit(float(p))
+        wanted += [F.struct(F.lit(float(p)).alias("p"), F.lit(side).alias("__side"), position.cast("bigint").alias("__at"), h.alias("__h"))
+                   for side, position in (("lo", F.floor(h)), ("hi", F.ceil(h)))]
+    targets = totals.select(*keys, (F.col("__end") - F.col("__in")).alias("__start"), "__end", F.inline(F.array(*wanted))) \
+        .where((F.col("__at") >= F.col("__start")) & (F.col("__at") < F.col("__end"))) \
+        .select(*keys, "p", "__side", "__h", (F.col("__at") - F.col("__start")).alias("__rel"))
+    inside = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = values.join(targets.select(*keys).distinct(), keys, "left_semi").withColumn("__to", F.sum("__cnt").over(inside))
+    hit = ranked.join(targets, keys).where((F.col("__rel") < F.col("__to")) & (F.col("__rel") >= F.col("__to") - F.col("__cnt")))
+    ends = hit.groupBy(*groups, "p").agg(F.max(F.when(F.col("__side") == "lo", F.col("__v"))).alias("__vlo"),
+                                         F.max(F.when(F.col("__side") == "hi", F.col("__v"))).alias("__vhi"), F.max("__h").alias("__h"))
+    h, lo, hi = F.col("__h"), F.floor("__h").cast("double"), F.ceil("__h").cast("double")
+    q = (F.when(F.col("__vlo").isNull() | F.col("__vhi").isNull(), F.raise_error(F.lit("a quantile position was not found")).cast("double"))
+         .when((lo == hi) | (F.col("__vlo") == F.col("__vhi")), F.col("__vlo"))
          .otherwise((hi - h) * F.col("__vlo") + (h - lo) * F.col("__vhi")))
-    return res.select(*groups, "p", q.alias("quantile"))
+    return ends.select(*groups, "p", q.alias("quantile"))
 
 
-def exact_median(df: DataFrame, value: str, groups: list[str] | None = None,
-                 accuracy: int = 100_000) -> DataFrame:
+def exact_median(df: DataFrame, value: str, groups: list[str] | None = None, n_buckets: int = N_BUCKETS) -> DataFrame:
     """Rows (groups..., median) via :func:`exact_quantiles`."""
-    return exact_quantiles(df, value, [0.5], groups, accuracy).select(
-        *(groups or []), F.col("quantile").alias("median"))
+    return exact_quantiles(df, value, [0.5], groups, n_buckets).select(*(groups or []), F.col("quantile").alias("median"))
+
+
+def median_map(df: DataFrame, cols: list[str], n_buckets: int = N_BUCKETS) -> DataFrame:
+    """One-row table of the exact medians of several columns (one pass after an unpivot; NULL for a column without values)."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__val")) for c in cols])))
+    found = exact_median(long, "__val", ["__col"], n_buckets)
+    return found.agg(*[F.max(F.when(F.col("__col") == c, F.col("median"))).alias(c) for c in cols])

@@ -17,7 +17,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import raw_encounters
 
 
-def cleaned(df_raw: DataFrame, median_method: str = "exact") -> DataFrame:
+def cleaned(df_raw: DataFrame, median_method: str = "distributed") -> DataFrame:
     """Whole cleaning run: B1-B5, B7, then B8-B14."""
     return derive_features(clean_vitals(df_raw, median_method))
 

@@ -56,7 +56,7 @@ _c, _s = _box_sql("OU_LOS_hrs", "DiagnosisName")
 
 @register("los_box_summary", O.with_clean(_s, _c))
 def q_los_box_summary(spark, sf_dir):
-    return DI.box_summary(cleaned_encounters(spark, sf_dir), C.LOS, [C.DIAGNOSIS])
+    return DI.box_summary(cleaned_encounters(spark, sf_dir), C.LOS, [C.DIAGNOSIS], sd_digits=9)
 
 
 _c, _s = _box_sql("OU_LOS_hrs", "Flipped")
@@ -64,7 +64,7 @@ _c, _s = _box_sql("OU_LOS_hrs", "Flipped")
 
 @register("los_box_by_outcome", O.with_clean(_s, _c))
 def q_los_box_by_outcome(spark, sf_dir):
-    return DI.box_summary(cleaned_encounters(spark, sf_dir), C.LOS, [C.OUTCOME])
+    return DI.box_summary(cleaned_encounters(spark, sf_dir), C.LOS, [C.OUTCOME], sd_digits=9)
 
 
 @register("los_outliers", O.with_clean(
@@ -104,7 +104,7 @@ _c, _s = _density_sql("OU_LOS_hrs", "Flipped")
 
 @register("los_density", O.with_clean(_s, _c))
 def q_los_density(spark, sf_dir):
-    return DI.density(cleaned_encounters(spark, sf_dir), C.LOS, [C.OUTCOME])
+    return DI.density(cleaned_encounters(spark, sf_dir), C.LOS, [C.OUTCOME], digits=12)
 
 
 def _hist_sql(value: str, by: str, n_bins: int, where: str = "") -> tuple[str, str]:
@@ -253,7 +253,7 @@ def q_roc_auc(spark, sf_dir):
     "SELECT " + O.fixed_sql("SUM(pos * (CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE))) / CAST(MAX(P) AS DOUBLE)", 12)
     + " AS average_precision FROM cur", SCORE_CTE))
 def q_average_precision(spark, sf_dir):
-    return EV.average_precision(_curve(spark, sf_dir))
+    return EV.average_precision(_curve(spark, sf_dir), digits=12)
 
 
 @register("roc_curve", O.with_clean(
@@ -443,7 +443,7 @@ _c, _s = _box_sql("n_chars", "quality", "ld")
 
 @register("document_length_box", "WITH " + _DOC_CTE + ", " + _c + " " + _s)
 def q_document_length_box(spark, sf_dir):
-    return DI.box_summary(labelled_documents(spark, sf_dir), "n_chars", ["quality"])
+    return DI.box_summary(labelled_documents(spark, sf_dir), "n_chars", ["quality"], sd_digits=9)
 
 
 @register("feature_matrix_shape", O.with_clean(

@@ -41,17 +41,41 @@ def tokens_to_null(df: DataFrame, tokens: list[str] | None = None) -> DataFrame:
     return df.select(*cols)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
-             null_tokens: list[str] | None = None) -> DataFrame:
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, null_tokens: list[str] | None = None,
+             multi_line: bool = True, corrupt_col: str | None = None) -> DataFrame:
     """A1: CSV scan with header and a declared schema (no inference pass).
 
-    Typed columns that fail to parse become NULL (PERMISSIVE); text columns
-    keep their text and the missing-value tokens are mapped to NULL.
+    Quotes inside a quoted field are doubled, and a quoted field may span
+    lines.  The latter makes a file the unit of parallelism; pass
+    ``multi_line=False`` for large files without quoted line breaks.  Whole
+    numbers may be written as ``276.0``.  Typed columns that fail to parse
+    become NULL (PERMISSIVE); ``corrupt_col`` adds a column with the text that
+    failed, NULL on sound rows, so they can be counted.  Text columns keep
+    their text and the missing-value tokens are mapped to NULL.
     """
-    df = (spark.read.schema(schema).option("header", True)
-          .option("mode", "PERMISSIVE").option("nullValue", "")
-          .csv(path))
-    return nan_to_null(tokens_to_null(df, null_tokens))
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    raw = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, _WHOLE) else f.dataType) for f in fields])
+    if corrupt_col:
+        raw = raw.add(corrupt_col, T.StringType())
+    reader = (spark.read.schema(raw).option("header", True).option("mode", "PERMISSIVE").option("nullValue", "")
+              .option("quote", '"').option("escape", '"').option("multiLine", multi_line))
+    if corrupt_col:
+        reader = reader.option("columnNameOfCorruptRecord", corrupt_col)
+    df = tokens_to_null(reader.csv(path), null_tokens)
+    whole, failed = {}, []
+    for f in fields:
+        if isinstance(f.dataType, _WHOLE):
+            text, kind = F.col(f.name), f.dataType.simpleString()
+            number = text.try_cast("double")
+            exact = F.when(number == F.floor(number), number).try_cast(kind)
+            whole[f.name] = F.coalesce(text.try_cast(kind), exact)
+            failed.append(F.when(text.isNotNull() & whole[f.name].isNull(), F.concat(F.lit(f"{f.name}="), text)))
+    if corrupt_col and failed:
+        whole[corrupt_col] = F.coalesce(F.col(corrupt_col), *failed)
+    return nan_to_null(df.withColumns(whole) if whole else df)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
@@ -62,7 +86,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     else:
         w.format(fmt).save(path)
 

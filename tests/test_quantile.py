@@ -27,11 +27,11 @@ def test_bracket_path_equals_builtin(spark):
     df = spark.range(20000).select((F.col("id") % 3).alias("g"),
                                    ((F.col("id") * 7919) % 10007 / 7.0).alias("v"))
     probs = [0.1, 0.25, 0.5, 0.75, 0.9]
-    got = {(r["g"], r["p"]): r["quantile"] for r in exact_quantiles(df, "v", probs, ["g"], accuracy=200).collect()}
+    got = {(r["g"], r["p"]): r["quantile"] for r in exact_quantiles(df, "v", probs, ["g"], n_buckets=7).collect()}
     for r in _builtin(df, probs, ["g"]).collect():
         for p, q in zip(probs, r["q"]):
             assert got[(r["g"], p)] == q
-    m = exact_median(df, "v", accuracy=500).first()["median"]
+    m = exact_median(df, "v", n_buckets=16).first()["median"]
     assert m == df.agg(F.median("v")).first()[0]
 
 
@@ -47,9 +47,9 @@ def test_distributed_options_match_exact(spark, sf_small):
     b = CL.median_row(rep, C.IMPUTED_VITALS, "distributed").first().asDict()
     assert a == b
     df = cleaned_encounters(spark, sf_small)
-    x = DI.box_summary(df, C.LOS, [C.DIAGNOSIS])
+    x = DI.box_summary(df, C.LOS, [C.DIAGNOSIS], method="exact")
     y = DI.box_summary(df, C.LOS, [C.DIAGNOSIS], method="distributed").select(*x.columns)
     assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
-    m1 = PR.median_order(df)
+    m1 = PR.median_order(df, method="exact")
     m2 = PR.median_order(df, method="distributed").select(*m1.columns)
     assert m1.exceptAll(m2).count() == 0
