@@ -23,8 +23,11 @@ from .. import config as C
 def capacity_scenarios(baselines: DataFrame, rate: str = "baseline_rate",
                        targets: list[int] | None = None, base: int = C.CAPACITY_PER_WEEK,
                        weeks: int = C.WEEKS_PER_YEAR, share: float = C.CONVERSION_SHARE,
-                       value_per: int = C.REVENUE_PER_PATIENT) -> DataFrame:
-    """G1 + G2 for every (segment, target)."""
+                       value_per: int = C.REVENUE_PER_PATIENT, baseline: float | None = None) -> DataFrame:
+    """G1 + G2 for every (segment, target); ``baseline`` (such as
+    ``config.BASELINE_FLIP_RATE``) replaces the segments' own rates."""
+    if baseline is not None:
+        baselines = baselines.withColumn(rate, F.lit(float(baseline)))
     targets = C.SCENARIO_TARGETS if targets is None else targets
     t = F.col("target_pct")
     projected = F.try_divide(F.lit(float(base)) * (F.lit(1.0) - t / F.lit(100)),

@@ -10,6 +10,8 @@ one per class.  Ranks come from :func:`two_level_rank` (no single-task window).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,24 +51,34 @@ def fold_sizes(df: DataFrame, label: str = C.OUTCOME, fold: str = "fold") -> Dat
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+#: Statistics per aggregate, so that each stays below the field limit of whole-stage code generation.
+STATS_AT_ONCE = 40
+
+
 def standardise(df: DataFrame, cols: list[str], fit_filter=None, suffix: str = "",
-                digits: int | None = None) -> DataFrame:
+                digits: int | None = None, binary: list[str] | None = None) -> DataFrame:
     """(x - mean) / population sd, statistics from the rows selected by
     ``fit_filter`` only (the training rows), applied to every row.
 
-    A constant column gets scale 1 (centred only).  The statistics are one
-    row, broadcast (size bound: one row).
+    A constant column gets scale 1 (centred only).  Columns named in
+    ``binary`` hold 0 and 1 only: their sum p gives both, sd = sqrt(p (1 - p)).
+    The statistics are one row, read by the driver and applied as constants.
     """
     fit = df.where(fit_filter) if fit_filter is not None else df
-    stats = fit.agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(cols)],
-                    *[F.stddev_pop(c).alias(f"__s{i}") for i, c in enumerate(cols)])
-    j = df.crossJoin(F.broadcast(stats))
+    flags = set(binary or [])
+    stats = {f"__m{i}": F.avg(c) for i, c in enumerate(cols)} | {f"__s{i}": F.stddev_pop(c) for i, c in enumerate(cols) if c not in flags}
+    names, row = list(stats), {}
+    for a in range(0, len(names), STATS_AT_ONCE):
+        row |= fit.agg(*[stats[n].alias(n) for n in names[a:a + STATS_AT_ONCE]]).first().asDict()
     new = {}
     for i, c in enumerate(cols):
-        sd = F.when(F.col(f"__s{i}") > 0, F.col(f"__s{i}")).otherwise(F.lit(1.0))
-        e = (F.col(c) - F.col(f"__m{i}")) / sd
+        mean = row[f"__m{i}"]
+        if mean is None:
+            new[c + suffix] = F.lit(None).cast("double")
+            continue
+        sd = math.sqrt(mean * (1 - mean)) if c in flags else row[f"__s{i}"]
+        e = (F.col(c) - F.lit(mean)) / F.lit(sd if sd > 0 else 1.0)
         if digits is not None:
             e = F.rint(e * F.lit(float(10 ** digits))) / F.lit(float(10 ** digits))
         new[c + suffix] = e
-    return j.withColumns(new).drop(*[f"__m{i}" for i in range(len(cols))],
-                                   *[f"__s{i}" for i in range(len(cols))])
+    return df.withColumns(new)

@@ -1,7 +1,9 @@
 """Registry of named queries (``queries()``) and their SQL oracles (``oracle_sql()``).
 
 Every query reads the driver's tables under ``sf_dir`` (whole tables), runs
-the library operators on them and returns a lazy DataFrame.
+the library operators on them and returns a DataFrame.  The call itself may run
+jobs: the cleaned and the split table are stored on first use, and operators
+read bounded sketches (cut points, levels).
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .registry_eval import EVAL_QUERIES, EVAL_SQL
 from .registry_models import MODEL_QUERIES
+from .registry_multi import MULTI_QUERIES, MULTI_SQL
 from .registry_profile import PROFILE_QUERIES, PROFILE_SQL
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +24,7 @@ def queries() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {}
     out.update(PROFILE_QUERIES)
     out.update(EVAL_QUERIES)
+    out.update(MULTI_QUERIES)
     out.update(MODEL_QUERIES)
     return out
 
@@ -29,6 +33,7 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(PROFILE_SQL)
     out.update(EVAL_SQL)
+    out.update(MULTI_SQL)
     return out
 
 

@@ -4,7 +4,6 @@ starts from, and the derived inputs of the evaluation and risk queries."""
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..operators.clean import clean_vitals
 from ..operators.features import derive_features
+from ..operators.split import assign_split
 from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import raw_encounters
 
@@ -22,30 +22,58 @@ def cleaned(df_raw: DataFrame, median_method: str = "distributed") -> DataFrame:
     return derive_features(clean_vitals(df_raw, median_method))
 
 
-# Tables written by this application, per (name, input folder).
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+# Tables written by this application, per (application, name, input folder, input files).
+_WRITTEN: dict[tuple[str, str, str, str], str] = {}
 _LOCK = threading.RLock()  # re-entrant: one stored table may build on another
 
 
+def _folder(spark: SparkSession, path: str):
+    """File system and path object of a folder, for any scheme that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def input_identity(spark: SparkSession, sf_dir: str) -> str:
+    """Digest of the files below a folder (name, length, time), so that a changed input is not taken for the old one."""
+    fs, path = _folder(spark, sf_dir)
+    files, seen = fs.listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
+
+
 def stored_once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Write ``build()`` once per application as Parquet into the session's
-    reliable checkpoint folder (shared storage on a cluster) and read it back.
+    """Write ``build()`` once per application and input as Parquet into the
+    session's reliable checkpoint folder (shared storage on a cluster) and
+    read it back.  The write happens inside the call.
 
     Cuts the lineage (a lost executor re-reads files instead of re-running the
     upstream joins and aggregates), lets later queries skip the upstream work,
     and makes their filters and column pruning reach this scan.
+    :func:`forget_stored` removes the copies.
     """
-    key = (spark.sparkContext.applicationId, name, os.path.abspath(sf_dir))
+    key = (spark.sparkContext.applicationId, name, sf_dir.rstrip("/"), input_identity(spark, sf_dir))
     with _LOCK:
         path = _WRITTEN.get(key)
         if path is None:
-            tag = hashlib.md5(key[2].encode()).hexdigest()[:12]
+            tag = hashlib.md5("|".join(key[2:]).encode()).hexdigest()[:12]
             path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{tag}"
             build().write.mode("overwrite").parquet(path)
             _WRITTEN[key] = path
     return spark.read.parquet(path)
 
 
+def forget_stored(spark: SparkSession) -> int:
+    """Delete the tables that this application stored; returns how many."""
+    with _LOCK:
+        mine = [k for k in _WRITTEN if k[0] == spark.sparkContext.applicationId]
+        for key in mine:
+            fs, path = _folder(spark, _WRITTEN.pop(key))
+            fs.delete(path, True)
+    return len(mine)
+
+
 def cleaned_encounters(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
     """The cleaned encounter table of ``sf_dir``.
 
@@ -59,6 +87,13 @@ def cleaned_encounters(spark: SparkSession, sf_dir: str, materialise: bool = Tru
                        lambda: cleaned(raw_encounters(spark, sf_dir)))
 
 
+def split_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned table with the stratified split and folds, stored once per
+    application (the split is a fixed artefact of the modelling step)."""
+    return stored_once(spark, sf_dir, "split-encounters",
+                       lambda: assign_split(cleaned_encounters(spark, sf_dir)))
+
+
 # Deterministic stand-in score for checking the evaluation operators against
 # SQL: a dyadic rational (k / 512) built from row columns, so every sum of
 # scores is exact in floating point and ties are plentiful.

@@ -3,11 +3,9 @@ importances and risk from the best model (F1-F22).
 
 Plan:
 
-1. cleaned rows -> one-hot features -> stratified split + folds (two-level
-   rank), written once to the session's reliable checkpoint folder, so the
-   statistics and every fit read it from shared storage and a lost executor
-   never forces the cleaning to be recomputed; then training-median fill,
-   class weights, standardised copy (training statistics) and vectors;
+1. the stored split table -> one-hot features -> training-median fill of the
+   columns with NULLs, standardised copy (training statistics) and vectors,
+   laid out by a hash of the id; every fit reads this table;
 2. the final fits (training rows) and the k-fold fits (training rows minus
    one fold) are independent Spark jobs submitted from a thread pool, so the
    cluster runs them concurrently;
@@ -23,18 +21,18 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.numeric import fixed
 from ..functions.text import extract_number, fixed_text, mean_sd_text, pretty_feature
 from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..operators import risk as RI
 from ..operators import split as SP
 from ..operators import train as TR
-from ..session import ensure_checkpoint_dir
-from .encounters import cleaned_encounters
+from .encounters import split_encounters
 
 KEEP = [C.ID, C.CODE, C.AGE, C.OUTCOME]
 
@@ -49,50 +47,40 @@ class TrainResult:
     fold_scores: DataFrame | None = None
 
 
-def prepare(df_clean: DataFrame, label: str = C.OUTCOME, n_folds: int = C.N_FOLDS) -> tuple[DataFrame, list[str]]:
-    """Step 1: features, split and folds, written once to the reliable
-    checkpoint folder; then fill, weights, standardisation and vectors.
+#: The training table has this many partitions, more only beyond ``ROWS_PER_PARTITION`` rows each.
+TRAIN_PARTITIONS, ROWS_PER_PARTITION = 8, 1_000_000
 
-    The train-only statistics (medians, class sizes, means, sds) are small
-    aggregate jobs over the checkpointed table, so none of them recomputes the
-    cleaning.  The rows are spread round-robin before the write (AQE may have
-    coalesced upstream shuffles) into :func:`training_partitions` partitions,
-    because each fit's parallelism is the partition count of this table.
+
+def training_partitions(n_rows: int) -> int:
+    """Partitions of the training table, from its rows alone: seeded fits depend
+    on the layout, so it must not depend on the cluster."""
+    return max(TRAIN_PARTITIONS, -(-n_rows // ROWS_PER_PARTITION))
+
+
+def prepare(split_table: DataFrame, label: str = C.OUTCOME) -> tuple[DataFrame, list[str]]:
+    """Step 1, from the stored split table: features, fill, standardisation and vectors.
+
+    Rows go to partitions by a hash of their id and lie in order of id, so the
+    fits see the same layout on any cluster.  Columns without NULLs are not
+    filled; the others get the exact median of the training rows.
     """
-    spark = df_clean.sparkSession
-    ensure_checkpoint_dir(spark)
-    d, feats = FE.model_features(df_clean)
-    d = SP.assign_split(d, label, C.ID, n_folds=n_folds).select(*KEEP, "split", "fold", *[
-        f for f in feats if f not in KEEP])
-    base = d.repartition(training_partitions(df_clean)).checkpoint(eager=True)
+    d, feats = FE.model_features(split_table)
+    d = d.select(*KEEP, "split", "fold", *[f for f in feats if f not in KEEP])
     is_train = F.col("split") == "train"
-    d = TR.fill_with_fit_median(base, feats, is_train)
-    d = TR.balanced_weights(d, label, is_train)
+    d = TR.fill_with_fit_median(d, feats, is_train)
     z = [f"{c}__z" for c in feats]
-    d = SP.standardise(d, feats, is_train, suffix="__z")
+    d = SP.standardise(d, feats, is_train, suffix="__z", binary=binary_features(feats))
     d = TR.assemble(d, feats, "features")
     d = TR.assemble(d, z, "features_z")
-    d = d.select(*KEEP, "split", "fold", "class_weight", "features", "features_z")
-    # Narrow steps over the checkpoint plus one-row broadcasts: cheap to
-    # recompute, kept for the many passes of the fits.
+    d = d.select(*KEEP, "split", "fold", "features", "features_z")
+    d = d.repartition(training_partitions(split_table.count()), F.xxhash64(C.ID)).sortWithinPartitions(C.ID)
+    # Kept for the many passes of the fits; a lost block is read again from the stored split table.
     return d.persist(StorageLevel.MEMORY_AND_DISK), feats
 
 
-MIN_ROWS_PER_PART = 20_000
-MAX_ROWS_PER_PART = 1_000_000
-
-
-def training_partitions(df: DataFrame) -> int:
-    """Partitions of the training table: one per core, but never fewer than
-    20k or more than 1M rows each.  Small tables stay in few partitions (the
-    k-fold fits run concurrently, so each fit needs little parallelism and
-    many tiny tasks only add scheduling), large ones split into ~1M-row
-    partitions whatever the core count.  The count is read from a stored
-    Parquet table, so it costs no pass over the rows."""
-    n = df.count()
-    cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    per = min(max(-(-n // cores), MIN_ROWS_PER_PART), MAX_ROWS_PER_PART)
-    return max(1, -(-n // per))
+def binary_features(feats: list[str]) -> list[str]:
+    """The 0/1 columns among the model features."""
+    return [f for f in feats if f.startswith(("Ins_", "DRG_", "Flag_")) or f == C.GENDER_BINARY]
 
 
 def _fit_all(jobs, parallelism: int):
@@ -111,25 +99,43 @@ def _fit_all(jobs, parallelism: int):
     return out
 
 
-def train_and_score(df_clean: DataFrame, names: list[str] | None = None, n_folds: int = C.N_FOLDS,
+def class_weight(counts: dict[tuple, int], without: int | None, label: str = C.OUTCOME):
+    """Balanced weight of a row's class, n / (classes x n of the class), over the
+    training rows outside fold ``without`` (each fit weighs its own rows)."""
+    held: dict[int, int] = {}
+    for (fold, y), n in counts.items():
+        if fold != without:
+            held[y] = held.get(y, 0) + n
+    total, out = sum(held.values()), F.lit(1.0)
+    for y, n in held.items():
+        out = F.when(F.col(label) == y, F.lit(total / (len(held) * n))).otherwise(out)
+    return out
+
+
+def train_and_score(split_table: DataFrame, names: list[str] | None = None, n_folds: int = C.N_FOLDS,
                     parallelism: int = 8, overrides: dict | None = None) -> TrainResult:
     """Steps 1-2: fit every model on the training rows and on each k-fold
-    complement; score the test rows and each held-out fold."""
+    complement; score the test rows and each held-out fold.
+
+    ``split_table`` is the cleaned table with ``split`` and ``fold``.  Class
+    weights are those of the rows that a fit sees; fill values and scaling come
+    from all training rows, also for the folds (a quirk kept for the scaling).
+    """
     names = TR.MODEL_ORDER if names is None else names
     overrides = overrides or {}
-    data, feats = prepare(df_clean, n_folds=n_folds)
+    data, feats = prepare(split_table)
     train = data.where(F.col("split") == "train")
-    # Rows per fold (k small rows): the LR penalty scales with the rows fitted.
-    per_fold = {r["fold"]: r["n"] for r in train.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_train = int(sum(per_fold.values()))
+    # Rows per (fold, class), at most 2 k small rows: weights, and the LR penalty, which scales with the rows fitted.
+    counts = {(r["fold"], r[C.OUTCOME]): r["n"]
+              for r in train.groupBy("fold", C.OUTCOME).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_train = int(sum(counts.values()))
     jobs = []
     for name in names:
         over = overrides.get(name, {})
-        jobs.append(((name, None), TR.estimator(name, n_train, C.OUTCOME, **over), train))
-        for k in range(n_folds):
-            n_part = n_train - int(per_fold.get(k, 0))
-            jobs.append(((name, k), TR.estimator(name, n_part, C.OUTCOME, **over),
-                         train.where(F.col("fold") != k)))
+        for k in [None, *range(n_folds)]:
+            n_part = n_train - sum(n for (fold, _), n in counts.items() if k is not None and fold == k)
+            rows = train if k is None else train.where(F.col("fold") != k)
+            jobs.append(((name, k), TR.estimator(name, n_part, C.OUTCOME, **over), rows.withColumn("class_weight", class_weight(counts, k))))
     # Longest fits first (boosting is sequential in its rounds), so the pool
     # never ends with one long job running alone.
     rank = {TR.BOOSTING: 0, TR.FOREST: 1, TR.LOGISTIC: 2}
@@ -146,33 +152,50 @@ def train_and_score(df_clean: DataFrame, names: list[str] | None = None, n_folds
                   .withColumn("model", F.lit(name)).withColumn("fold", F.lit(k)))
             folds = fs if folds is None else folds.unionByName(fs)
     # Scores are reused by every metric; keep them (recomputable from the
-    # checkpointed features and the fitted models if an executor is lost).
+    # stored split table and the fitted models if an executor is lost).
     scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
     folds = folds.persist(StorageLevel.MEMORY_AND_DISK)
     return TrainResult(data, feats, n_train, models, scored, folds)
 
 
-def model_metrics(res: TrainResult) -> DataFrame:
+def metrics_table(test_scores: DataFrame, fold_scores: DataFrame, order: list[str], tune_on: str = "test",
+                  digits: int | None = None) -> DataFrame:
     """F9-F16 numeric: per model AUC, AP, CV mean / population sd, threshold,
-    class-1 precision / recall / F1, accuracy."""
+    class-1 precision / recall / F1, accuracy.
+
+    ``tune_on='test'`` picks the threshold on the test rows, as the analysed
+    pipeline does; ``'validation'`` picks it on the held-out fold scores.
+    """
     by = ["model"]
-    curve = EV.score_curve(res.test_scores, C.OUTCOME, "score", by)
-    best = EV.best_f1_threshold(curve, "score", by)
+    curve = EV.score_curve(test_scores, C.OUTCOME, "score", by)
+    tuned = {"test": curve, "validation": None}[tune_on]
+    best = EV.best_f1_threshold(EV.score_curve(fold_scores, C.OUTCOME, "score", by) if tuned is None else tuned, "score", by)
     auc = EV.roc_auc(curve, by)
-    ap = EV.average_precision(curve, by)
-    counts = EV.confusion_counts(res.test_scores, best, C.OUTCOME, "score", by)
+    ap = EV.average_precision(curve, by, digits)
+    counts = EV.confusion_counts(test_scores, best, C.OUTCOME, "score", by)
     rep = EV.classification_report(counts, by)
     cls1 = rep.where(F.col("class") == "1").select(
         "model", F.col("precision").alias("precision_1"), F.col("recall").alias("recall_1"),
         F.col("f1_score").alias("f1_1"))
     acc = rep.where(F.col("class") == "accuracy").select("model", F.col("f1_score").alias("accuracy"))
-    fold_curve = EV.score_curve(res.fold_scores, C.OUTCOME, "score", ["model", "fold"])
-    cv = (EV.roc_auc(fold_curve, ["model", "fold"]).groupBy("model")
-          .agg(F.avg("roc_auc").alias("cv_auc_mean"), F.stddev_pop("roc_auc").alias("cv_auc_sd")))
-    order = F.create_map(*[x for i, n in enumerate(TR.MODEL_ORDER) for x in (F.lit(n), F.lit(i))])
+    mean, sd = F.avg("roc_auc"), F.stddev_pop("roc_auc")
+    if digits is not None:
+        mean, sd = fixed(mean, digits), fixed(sd, digits)
+    cv = fold_auc(fold_scores).groupBy("model").agg(mean.alias("cv_auc_mean"), sd.alias("cv_auc_sd"))
+    position = F.create_map(*[x for i, n in enumerate(order) for x in (F.lit(n), F.lit(i))])
     return (auc.join(ap, by).join(cv, by).join(best.select("model", "threshold"), by)
             .join(cls1, by).join(acc, by)
-            .withColumn("position", F.try_element_at(order, F.col("model"))))
+            .withColumn("position", F.try_element_at(position, F.col("model"))))
+
+
+def fold_auc(fold_scores: DataFrame) -> DataFrame:
+    """F15 detail: AUC of every (model, fold)."""
+    by = ["model", "fold"]
+    return EV.roc_auc(EV.score_curve(fold_scores, C.OUTCOME, "score", by), by)
+
+
+def model_metrics(res: TrainResult, tune_on: str = "test") -> DataFrame:
+    return metrics_table(res.test_scores, res.fold_scores, TR.MODEL_ORDER, tune_on)
 
 
 def comparison_table(metrics: DataFrame) -> DataFrame:
@@ -199,16 +222,19 @@ def best_model(metrics: DataFrame) -> DataFrame:
 
 def feature_importance(res: TrainResult, top: int = C.IMPORTANCE_TOP) -> DataFrame:
     """F19 + B20: top ``top`` importances per tree model, percent and display label."""
-    from pyspark.sql import Window
     spark = res.data.sparkSession
     rows = []
     for name in (TR.FOREST, TR.BOOSTING):
         key = (name, None)
         if key in res.models:
             rows += [(name, f, v) for f, v in TR.importances(res.models[key], res.features)]
-    imp = spark.createDataFrame(rows, "model string, feature string, importance double")
+    return top_importances(spark.createDataFrame(rows, "model string, feature string, importance double"), top)
+
+
+def top_importances(importances: DataFrame, top: int = C.IMPORTANCE_TOP) -> DataFrame:
+    """F19 + B20 + E2 on (model, feature, importance): rank (name breaks ties), percent, display label."""
     w = Window.partitionBy("model").orderBy(F.col("importance").desc(), F.col("feature"))
-    return (imp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return (importances.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
             .withColumn("importance_pct", F.col("importance") * F.lit(100.0))
             .withColumn("label", pretty_feature(F.col("feature"))))
 
@@ -231,9 +257,7 @@ def test_predictions(res: TrainResult, metrics: DataFrame) -> DataFrame:
 
 
 def cv_fold_auc(res: TrainResult) -> DataFrame:
-    """F15 detail: AUC of every (model, fold)."""
-    curve = EV.score_curve(res.fold_scores, C.OUTCOME, "score", ["model", "fold"])
-    return EV.roc_auc(curve, ["model", "fold"])
+    return fold_auc(res.fold_scores)
 
 
 # One trained result per (application, input folder), shared by the
@@ -246,6 +270,17 @@ def trained(spark: SparkSession, sf_dir: str) -> tuple[TrainResult, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     with _LOCK:
         if key not in _RESULTS:
-            res = train_and_score(cleaned_encounters(spark, sf_dir))
+            res = train_and_score(split_encounters(spark, sf_dir))
             _RESULTS[key] = (res, model_metrics(res).cache())
         return _RESULTS[key]
+
+
+def forget_trained(spark: SparkSession) -> int:
+    """Drop the trained results of this application and their kept tables; returns how many."""
+    with _LOCK:
+        mine = [k for k in _RESULTS if k[0] == spark.sparkContext.applicationId]
+        for key in mine:
+            res, metrics = _RESULTS.pop(key)
+            for df in (res.data, res.test_scores, res.fold_scores, metrics):
+                df.unpersist()
+    return len(mine)

@@ -2,9 +2,9 @@
 
 They are written against the driver's raw tables only (pre-registered views)
 and re-derive everything in plain SQL: the fixture view (FIXTURES.md section
-4, verbatim), the cleaning steps, features and every statistic.  Literal
-lists are generated from the same fixed values in ``config`` (they are the
-specification, not logic).
+4, verbatim), the cleaning steps, features and every statistic.  Thresholds
+and bin edges are written out as literals; only the text lists (names, groups)
+come from ``config``.
 """
 
 from __future__ import annotations
@@ -55,19 +55,19 @@ def _case_map(col: str, mapping: dict, quote_key: bool) -> str:
 
 
 def _age_case(col: str = "Age") -> str:
-    parts = [f"WHEN {col} > {lo} AND {col} <= {hi} THEN {_q(lab)}"
-             for lo, hi, lab in zip(C.AGE_EDGES[:-1], C.AGE_EDGES[1:], C.AGE_LABELS)]
-    return "CASE " + " ".join(parts) + " ELSE NULL END"
-
-
-def _flag(measure: str, op: str, thr: float) -> str:
-    return f"CAST(COALESCE({measure} {op} {thr!r}, FALSE) AS INTEGER)"
+    return (f"CASE WHEN {col} > 0 AND {col} <= 40 THEN '18–40' WHEN {col} > 40 AND {col} <= 55 THEN '41–55'"
+            f" WHEN {col} > 55 AND {col} <= 65 THEN '56–65' WHEN {col} > 65 AND {col} <= 75 THEN '66–75'"
+            f" WHEN {col} > 75 AND {col} <= 89 THEN '76+' ELSE NULL END")
 
 
 _VITALS = C.IMPUTED_VITALS
-_FLAG_SQL = ",\n    ".join(f"{_flag(m, op, t)} AS {name}" for name, m, op, t in C.VITAL_FLAG_RULES)
-_FLAG_SUM = " + ".join(_flag(m, op, t) for _, m, op, t in C.VITAL_FLAG_RULES)
-_EXCL = ", ".join(str(c) for c in C.EXCLUSION_CODES)
+# Limits are written out here, not taken from the code under test.
+_FLAGS = {"Flag_Tachycardia": "Pulse > 100", "Flag_Hypo_O2": "PulseOximetry < 92", "Flag_Fever": "Temperature > 100.4",
+          "Flag_Tachypnea": "Respirations > 20", "Flag_Hypertension": "BloodPressureUpper > 140",
+          "Flag_Hypotension": "BloodPressureUpper < 90"}
+_FLAG_SQL = ",\n    ".join(f"CAST(COALESCE({rule}, FALSE) AS INTEGER) AS {name}" for name, rule in _FLAGS.items())
+_FLAG_SUM = " + ".join(f"CAST(COALESCE({rule}, FALSE) AS INTEGER)" for rule in _FLAGS.values())
+_EXCL = "428, 486, 577, 578"
 
 CLEAN_SQL = f"""
 rep AS (

