@@ -266,7 +266,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("component", F.coalesce("component", "content"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("content"))
     classes = named.groupBy("component").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("class_size"))
-    joined = named.join(classes, "component")
+    # stored, so that both sides of the join are shuffled for it and AQE can split the rows of a huge class
+    joined = named.join(stored(classes, "near-sizes"), "component")
     best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("content") == F.col("best.content"))
     repeated = Window.partitionBy("doc_id", "content").orderBy("class_size")
     return joined.withColumn("best_row", best).withColumn("nth", F.row_number().over(repeated)) \
