@@ -47,14 +47,14 @@ class TrainResult:
     fold_scores: DataFrame | None = None
 
 
-#: The training table has this many partitions, more only beyond ``ROWS_PER_PARTITION`` rows each.
-TRAIN_PARTITIONS, ROWS_PER_PARTITION = 8, 1_000_000
+#: Rows of a partition of the training table at least and at most, and its partitions in between.
+LEAST_ROWS, MOST_ROWS, TRAIN_PARTITIONS = 20_000, 1_000_000, 8
 
 
 def training_partitions(n_rows: int) -> int:
     """Partitions of the training table, from its rows alone: seeded fits depend
     on the layout, so it must not depend on the cluster."""
-    return max(TRAIN_PARTITIONS, -(-n_rows // ROWS_PER_PARTITION))
+    return max(1, min(TRAIN_PARTITIONS, -(-n_rows // LEAST_ROWS)), -(-n_rows // MOST_ROWS))
 
 
 def prepare(split_table: DataFrame, label: str = C.OUTCOME) -> tuple[DataFrame, list[str]]:

@@ -74,11 +74,15 @@ def test_no_exchange_of_rows_on_the_group_alone(spark, sf_small):
 
 
 def test_training_layout_depends_on_rows_alone(spark, sf_small):
-    assert M.training_partitions(10) == M.training_partitions(7_000_000) == 8
-    assert M.training_partitions(30_000_000) == 30
+    assert [M.training_partitions(n) for n in (0, 10, 50_000, 7_000_000, 30_000_000)] == [1, 1, 3, 8, 30]
     split = EN.split_encounters(spark, sf_small)
-    a, _ = M.prepare(split)
-    b, _ = M.prepare(split.repartition(13))
+    old, M.LEAST_ROWS = M.LEAST_ROWS, 500
+    try:
+        a, _ = M.prepare(split)
+        b, _ = M.prepare(split.repartition(13))
+    finally:
+        M.LEAST_ROWS = old
+    assert a.rdd.getNumPartitions() > 1
     layout = lambda d: d.select(F.spark_partition_id().alias("p"), C.ID).groupBy("p").agg(F.collect_list(C.ID).alias("ids")).collect()
     assert {r.p: r.ids for r in layout(a)} == {r.p: r.ids for r in layout(b)}
     a.unpersist()
