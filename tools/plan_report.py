@@ -58,12 +58,12 @@ def main() -> int:
     ap.add_argument("--sf-dir", default="/root/testdata/sf0.01")
     ap.add_argument("--out", default="PLANS.md")
     a = ap.parse_args()
-    import __spark_entry__ as E
+    from flipwise.plans import catalog
     from flipwise.session import get_session
     spark = get_session()
-    qs = E.queries()
+    qs = catalog.queries()
     rows = []
-    for n in sorted(E.oracle_sql()):
+    for n in sorted(catalog.oracle_sql()):
         s = shape(final_plan(qs[n](spark, a.sf_dir)))
         rows.append((n, s))
     hdr = ["query", "scans", "pushed filters", "shuffles", "single-partition exchanges", "broadcast hash joins",
@@ -74,12 +74,13 @@ def main() -> int:
     out = ["# Final physical plans (AQE) of the SQL-checked queries",
            "",
            f"Generated by `tools/plan_report.py` at `{a.sf_dir}` after running each query once. The plans read",
-           "the cleaned table written once per application. Single-partition exchanges carry partial aggregates of",
+           "the cleaned or split table stored once per application. Single-partition exchanges carry partial aggregates of",
            "global (key-less) aggregates, or feed the only windows without a partition key, which run over small",
-           "aggregated tables: the per-bucket offsets of a single-model curve (at most 65,537 rows; the PR and",
-           "ROC curves build the curve twice) and the rank of per-key medians (one row per key). No window over",
-           "row-level data lacks a partition key (`tests/test_queries.py` checks the split and the curves).",
-           "Nested-loop joins are the one-row statistics broadcasts.",
+           "aggregated tables: the per-bucket offsets of a single-model curve (at most 4,096 rows) and the per-bucket",
+           "offsets of the rank of per-key medians (at most 65 rows). No window over row-level data lacks a partition",
+           "key (`tests/test_queries.py` checks the split and the curves; `tests/test_scale_rules.py` checks that no join",
+           "deals rows by a group alone). Nested-loop joins are the one-row statistics broadcasts. Operators that need",
+           "cut points, levels or fit statistics read them in a bounded job before the plan shown here.",
            "",
            "| " + " | ".join(hdr) + " |", "|" + "---|" * len(hdr)]
     for n, s in rows:
