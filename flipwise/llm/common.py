@@ -44,10 +44,24 @@ def whole_text(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
 
 
+#: Scratch folders of this process, per application.
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the session's reliable checkpoint folder (``spark.checkpoint.dir`` on a cluster)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders of this application; returns how many.  DataFrames that read them fail afterwards."""
+    folders = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -225,6 +225,11 @@ def label_grade() -> Column:
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with __expected_grade, __tail and __kept, under a model fitted on ``labels``."""
+    """``docs`` with __expected_grade, __tail and __kept, under a model fitted on ``labels``.
+
+    Labels without id or grade are left out, repeated ones each count; texts
+    without words are not kept; repeated rows and null ids keep their rows;
+    an empty table gives no rows.
+    """
     model = fit(docs, labels, label_grade(), N_GRADES, id_col, text_col)
     return with_scores(docs, model, TAIL, text_col).withColumn("__kept", F.col("__tail") >= LEAST_TAIL)

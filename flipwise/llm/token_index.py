@@ -303,6 +303,12 @@ def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, folder: str | None = None, **kw) -> DataFrame:
-    """Write the shards of ``docs`` and read them back; one row per document, in the contract's columns first."""
+    """Write the shards of ``docs`` and read them back: doc_id, start, n_tokens (with the end id), ids_crc32, shard, record.
+
+    Null and empty texts hold the end id alone; repeated rows and repeated ids
+    are records of their own, neighbours that the index finds together; null
+    ids come first and are read, but not indexed; other columns are not read;
+    an empty table gives no rows.
+    """
     folder = folder or scratch_folder(spark, "token-shards")
     return read_token_shards(write_token_shards(docs, folder, **kw), folder)

@@ -526,3 +526,13 @@ def test_native_operators_run_no_python(docs):
     for df in (exact_dedup.exact_groups(docs), mixing.mix(docs, {"lang": F.col("lang")}, {}, fraction=0.5)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_scratch_can_be_cleared(spark):
+    from flipwise.llm.common import clear_scratch, open_folder, stored
+    df = stored(spark.range(3).toDF("a"), "probe")
+    assert df.count() == 3
+    folder = df.inputFiles()[0].rsplit("/", 2)[0]
+    assert clear_scratch(spark) >= 1
+    fs, path = open_folder(folder)
+    assert fs.get_file_info(path).type.name == "NotFound"
