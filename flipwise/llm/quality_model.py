@@ -6,9 +6,10 @@ shared by all grades, and ordered thresholds cut its score s:
     P(grade <= k) = 1 / (1 + exp(s - threshold_k))
 
 Hence each text gets an expected grade, and a tail probability P(grade >= k)
-for selection.  The model is fitted by the driver on a bounded sample of
+for selection.  The model is fitted in one task on a bounded sample of
 labelled rows (``MAX_LABELLED``, those with the smallest seeded hash of the
-id); every text is scored, whole, in Arrow batches.
+id), so the driver only sees its weights; every text is scored, whole, in
+Arrow batches.
 """
 
 from __future__ import annotations
@@ -121,15 +122,24 @@ class OrdinalModel:
 
 def fit_rows(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, n_grades: int) -> OrdinalModel:
     """Maximum likelihood with a ridge, by proximal Adam over all rows; thresholds stay ordered as a first value and positive steps."""
-    flat, amount = np.concatenate(rows), np.concatenate(values).astype(np.float64)
-    kept = np.flatnonzero(np.bincount(flat, minlength=DIMENSIONS) >= max(min(LEAST_TEXTS, len(rows)), LEAST_SHARE * len(rows)))
-    index = np.full(DIMENSIONS, -1)
-    index[kept] = np.arange(len(kept))
-    col, row = index[flat], np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col, row, amount = col[col >= 0], row[col >= 0], amount[col >= 0]
+    return fit_flat(np.concatenate(rows), np.concatenate(values), np.array([len(r) for r in rows]), grades, n_grades)
+
+
+def fit_flat(flat: np.ndarray, amount: np.ndarray, size: np.ndarray, grades: np.ndarray, n_grades: int) -> OrdinalModel:
+    """``fit_rows`` on joined rows: feature hashes, values, and features per row."""
+    n_rows = len(size)
+    held = np.bincount(flat, minlength=DIMENSIONS)
+    kept = np.flatnonzero(held >= max(min(LEAST_TEXTS, n_rows), LEAST_SHARE * n_rows))
+    index = np.full(DIMENSIONS, -1, np.int32)
+    index[kept] = np.arange(len(kept), dtype=np.int32)
+    col = index[flat]
+    inside = col >= 0
+    row = np.repeat(np.arange(n_rows, dtype=np.int32), size)[inside]
+    col, amount = col[inside].astype(np.int64), amount[inside].astype(np.float32)
+    del flat, inside
     scale = np.sqrt(np.bincount(col, amount**2, minlength=len(kept)) / np.maximum(1, np.bincount(col, minlength=len(kept))))
-    amount = amount / np.maximum(scale, 1e-9)[col]
-    n, k = len(rows), n_grades - 1
+    amount /= np.maximum(scale, 1e-9).astype(np.float32)[col]
+    n, k = n_rows, n_grades - 1
     held = np.bincount(grades, minlength=n_grades)
     each = ((n / n_grades / np.maximum(held, 1)) ** BALANCE)[grades]
     each /= each.mean()
@@ -185,13 +195,30 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, id_col
                 yield pa.RecordBatch.from_pydict({"grade": batch.column(0).slice(a, n), "found": pa.array(found, pa.list_(pa.int32())),
                                                   "amount": pa.array(amount, pa.list_(pa.float32()))})
 
-    got = arrow_map(rows, features, "grade int, found array<int>, amount array<float>") \
-        .orderBy(F.xxhash64("found"), "grade").limit(2 * max_labelled).toArrow().combine_chunks()
-    if not got.num_rows:
-        return OrdinalModel(np.zeros(DIMENSIONS, np.float32), np.full(n_grades - 1, -60.0))
-    lists = lambda name: np.split(got.column(name).combine_chunks().flatten().to_numpy(),
-                                  np.cumsum(pc.list_value_length(got.column(name)).to_numpy())[:-1])
-    return fit_rows(lists("found"), lists("amount"), got.column("grade").to_numpy().astype(np.int64), n_grades)
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, amount, size, grades = [], [], [], []
+        for batch in batches:
+            grades.append(batch.column(0).to_numpy(zero_copy_only=False))
+            size.append(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            flat.append(batch.column(1).flatten().to_numpy())
+            amount.append(batch.column(2).flatten().to_numpy())
+        if grades:
+            model = fit_flat(np.concatenate(flat), np.concatenate(amount), np.concatenate(size),
+                             np.concatenate(grades).astype(np.int64), n_grades)
+            at = np.flatnonzero(model.weights)
+            yield pa.RecordBatch.from_pydict({"at": pa.array([at.astype(np.int32)], pa.list_(pa.int32())),
+                                              "weight": pa.array([model.weights[at]], pa.list_(pa.float32())),
+                                              "thresholds": pa.array([model.thresholds], pa.list_(pa.float64()))})
+
+    # the sample is ordered by a hash of its features, so the fit does not depend on the cluster; repeated ids are bounded too
+    sample = arrow_map(rows, features, "grade int, found array<int>, amount array<float>") \
+        .orderBy(F.xxhash64("found"), "grade").limit(2 * max_labelled)
+    got = arrow_map(sample, train, "at array<int>, weight array<float>, thresholds array<double>").first()
+    weights = np.zeros(DIMENSIONS, np.float32)
+    if got is None:
+        return OrdinalModel(weights, np.full(n_grades - 1, -60.0))
+    weights[got["at"]] = got["weight"]
+    return OrdinalModel(weights, np.array(got["thresholds"]))
 
 
 def with_scores(docs: DataFrame, model: OrdinalModel, tail: int, text_col: str = "text") -> DataFrame:
