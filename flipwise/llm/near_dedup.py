@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, byte_slices, ship, stored, whole_text
 from .components import components
-from .tokens import text_array
+from .tokens import release, text_array
 
 WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5 registers: a pair at 0.8 shares a band but for a chance of 5e-5.
 BANDS, ROWS = 25, 5
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 #: A block of candidates holds about so many texts, and about so many bytes of them.
 BLOCK_TEXTS, BLOCK_BYTES = 512, 16_000_000
 
@@ -136,6 +136,7 @@ def _with_bands(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame
     """doc_id, content (MD5 of the text), bands.  Of copies in one run of rows only the first carries bands."""
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = text_array(batch.column(2))
             for a, n in byte_slices(texts, SLICE_BYTES):

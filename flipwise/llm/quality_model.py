@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, byte_slices, ship, whole_text
-from .tokens import text_array
+from .tokens import release, text_array
 
 #: Labelled rows that the fit takes at most.
 MAX_LABELLED = 16_000
@@ -38,7 +38,7 @@ HALF = 200.0
 STEPS, RATE, RIDGE = 150, 0.1, 1e-4
 #: Sparsity: a weight stays 0 until its gradient exceeds so many times sqrt(texts with the feature) / texts, the size of chance.
 SPARSITY = 0.4
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 EDGE = "\"'.,;:!?()[]{}<>|/\\*#$%&+-=_~`^@"
 
 
@@ -232,6 +232,7 @@ def with_scores(docs: DataFrame, model: OrdinalModel, tail: int, text_col: str =
     shared = spark.sparkContext.broadcast(model)  # a fixed 4 MB
 
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         for batch in batches:
             yield pa.array(shared.value.score(text_array(batch)), pa.float64())
 

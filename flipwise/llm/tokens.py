@@ -190,6 +190,11 @@ def encoder(vocabulary: str = VOCABULARY) -> Encoder:
     return _ENCODERS[vocabulary]
 
 
+def release() -> None:
+    """Let go of the worker's encoders: another operator runs in this worker now."""
+    _ENCODERS.clear()
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """The whole texts of an Arrow column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
