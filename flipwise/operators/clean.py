@@ -1,9 +1,9 @@
 """Cleaning operators (B1-B7) and the cleaning summary (B6, A4, D3 counts).
 
 Plan shape: B1-B5 are one narrow projection (whole-stage codegen, no
-shuffle).  B7 needs one global aggregate over the projected data; its result
-is a single row, broadcast back to every partition (size bound: one row).
-So cleaning reads the source twice and never shuffles row-level data.
+shuffle).  B7 needs the medians of the projected data first: distinct values with
+counts are shuffled for them, never rows, and the results are constants of the
+final projection.
 """
 
 from __future__ import annotations
@@ -72,16 +72,13 @@ def impute_median(df: DataFrame, cols: list[str] | None = None,
     """Fill NULLs of each column with that column's own median.
 
     Columns are imputed independently (so an imputed difference need not equal
-    the difference of imputed parts, as in the analysed pipeline).  All
-    medians come from one aggregate job; its one-row result is broadcast to
-    every partition (size bound: one row).  Scalar subqueries would let unused
-    medians be pruned, but each is executed on its own, so one job is cheaper.
+    the difference of imputed parts, as in the analysed pipeline).  The medians
+    (one number per column) are computed inside the call and enter the plan as
+    constants: no join, and unused columns still prune away with their sources.
     """
     cols = C.IMPUTED_VITALS if cols is None else cols
-    med = median_row(df, cols, method).select(*[F.col(c).alias(f"__med_{c}") for c in cols])
-    joined = df.crossJoin(F.broadcast(med))
-    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__med_{c}")) for c in cols}) \
-                 .drop(*[f"__med_{c}" for c in cols])
+    med = median_row(df, cols, method).first()
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(med[c]).cast("double")) for c in cols})
 
 
 def repair_vitals(df: DataFrame) -> DataFrame:
