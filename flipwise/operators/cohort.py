@@ -66,14 +66,11 @@ def option_values(df: DataFrame, col: str, keep_null: bool = False) -> DataFrame
 
 
 def option_lists(df: DataFrame, cols: list[str], keep_null: dict[str, bool] | None = None) -> DataFrame:
-    """C4 for several columns at once: long (column, value) table."""
+    """C4 for several columns at once: long (column, value) table, one scan."""
     keep_null = keep_null or {}
-    out = None
-    for c in cols:
-        part = option_values(df, c, keep_null.get(c, False)).select(
-            F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"),
+                                                  F.lit(keep_null.get(c, False)).alias("__null")) for c in cols])))
+    return pairs.where(F.col("value").isNotNull() | F.col("__null")).select("column", "value").distinct()
 
 
 def tier_filter(df: DataFrame, tier_col: str, tier: str) -> DataFrame:

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from ..functions.numeric import pct, ratio
 from ..operators.clean import repair_vitals
 from ..operators.features import derive_features
+from ..operators.profile import outcome_rate
 
 
 def encounter_stream(spark: SparkSession, folder: str, schema: T.StructType | str,
@@ -33,23 +33,12 @@ def encounter_stream(spark: SparkSession, folder: str, schema: T.StructType | st
 
 
 def clean_stream(raw: DataFrame, medians: DataFrame) -> DataFrame:
-    """B1-B5 per row, B7 with fixed medians (one-row table, broadcast), B8-B14."""
+    """B1-B5 per row, B7 with the medians of the first row of ``medians`` as constants, B8-B14."""
     cols = [c for c in C.IMPUTED_VITALS if c in medians.columns]
-    med = medians.select(*[F.col(c).alias(f"__med_{c}") for c in cols])
-    d = repair_vitals(raw).crossJoin(F.broadcast(med))
-    d = d.withColumns({c: F.coalesce(F.col(c), F.col(f"__med_{c}")) for c in cols}).drop(
-        *[f"__med_{c}" for c in cols])
-    return derive_features(d)
+    med = medians.select(*cols).first()
+    return derive_features(repair_vitals(raw).withColumns({c: F.coalesce(F.col(c), F.lit(med[c]).cast("double")) for c in cols}))
 
 
 def running_outcome_rate(df: DataFrame, keys, outcome: str = C.OUTCOME) -> DataFrame:
-    """D1 as a streaming aggregate (complete/update output modes)."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    cond = None
-    for k in keys:
-        cond = F.col(k).isNotNull() if cond is None else cond & F.col(k).isNotNull()
-    y = F.col(outcome)
-    return (df.where(cond).groupBy(*keys)
-            .agg(F.sum(y).cast("bigint").alias("Flipped_Count"), F.count(y).alias("Total"))
-            .withColumn("Flip_Rate", ratio("Flipped_Count", "Total"))
-            .withColumn("Flip_Pct", pct("Flip_Rate")))
+    """D1 as a streaming aggregate (complete/update output modes): the batch operator on a stream."""
+    return outcome_rate(df, keys, outcome)
