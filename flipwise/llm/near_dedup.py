@@ -239,7 +239,7 @@ def near_links(docs: DataFrame, seen: DataFrame, words: int = WORDS, similarity:
         .agg(F.max(F.struct("n", "component")).getField("component").alias("largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n"))
     largest = largest.withColumn("rounds", F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("n_largest")) / F.lit(block_texts))).cast("int")) \
         .select("leader", "largest", "rounds")
-    marked = stored(marked.join(largest, "leader"), "candidate-rest")
+    marked = stored(marked.join(stored(largest, "candidate-largest"), "leader"), "candidate-rest")
     round_ = F.pmod(F.xxhash64("content", F.lit(1)), F.col("rounds")).cast("int")
     guests = marked.where("component <> largest").select(
         "leader", F.col("block").alias("own"), "content", round_.alias("round"),
