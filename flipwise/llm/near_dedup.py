@@ -200,8 +200,9 @@ def _links(member: pa.Table, words: int, similarity: float, visitors: bool) -> p
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, seen: DataFrame) -> DataFrame:
     """node, content, text of each wanted node, from one row of each content."""
-    one = seen.select("doc_id", "content").withColumn("node", F.xxhash64("content")).join(wanted, "node", "left_semi") \
-        .groupBy("content", "node").agg(F.max("doc_id").alias("one"))
+    # copies collapse before the join: a content that very many rows hold is one row of it
+    one = seen.groupBy("content").agg(F.max("doc_id").alias("one")).withColumn("node", F.xxhash64("content")) \
+        .join(wanted, "node", "left_semi")
     rows = docs.select("doc_id", F.md5("text").alias("content"), "text")
     chosen = one.select("node", F.col("content").alias("c"), "one")
     found = rows.join(chosen, (F.col("content") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("one")))
