@@ -1,12 +1,13 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A text's elements are its distinct shingles of five words, weighted by
-1 + ln(occurrences).  Each element sends a Poisson process of arrivals, faster
-with its weight, each arrival at a uniformly drawn register; a register keeps
-the element that arrives first.  Two texts agree in a register with the
-probability Jaccard similarity of their weighted shingles.  Arrivals later
-than the latest register are never generated: an element stops as soon as its
-clock passes it.
+A text's elements are its distinct shingles of five words.  Each element sends
+a Poisson process of arrivals, faster with its weight, each arrival at a
+uniformly drawn register; a register keeps the element that arrives first.
+Two texts agree in a register with the probability Jaccard similarity of their
+weighted elements.  Links are decided by the Jaccard similarity of the shingle
+sets, so every shingle has weight 1 here, however often it occurs: the two
+similarities are then the same.  Arrivals later than the latest register are
+never generated: an element stops as soon as its clock passes it.
 
 Registers are cut into bands; texts that share a band are candidates.
 Candidates meet in blocks of bounded size, where the Jaccard similarity of
@@ -122,9 +123,9 @@ def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
 
 def band_hashes(texts: pa.Array, bands: int, rows: int, words: int) -> list[np.ndarray | None]:
     """The band hashes of each text; None for a text without words."""
-    owner, element, times = shingles(texts, words)
+    owner, element, _ = shingles(texts, words)
     n = len(texts)
-    signature = signatures(owner, element, 1 + np.log(times), n, bands * rows)
+    signature = signatures(owner, element, np.ones(len(owner)), n, bands * rows)
     value = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407), (n, bands)).copy()
     for k in range(rows):
         value = _mix(value + signature[:, k::rows])

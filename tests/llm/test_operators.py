@@ -249,6 +249,19 @@ def test_near_classes_of_a_large_group_equal_brute_force(spark, block):
     check_classes(near_dedup.near_classes(docs, block_texts=block).collect(), pairs)
 
 
+def test_near_classes_of_copies_with_repeated_lines_equal_brute_force(spark):
+    """Near copies (set Jaccard about 0.85) whose extra line repeats 100 times in one of them, and one whose own lines do."""
+    rng = random.Random(11)
+    pairs = []
+    for i in range(40):
+        body = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+        line = " ".join(f"j{rng.randint(0, 10**6)}" for _ in range(30))
+        pairs += [(2 * i, " ".join(body)), (2 * i + 1, " ".join(body) + ("\n" + line) * 100)]
+    lines = [" ".join(f"r{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(5)]
+    pairs += [(100, "\n".join(lines)), (101, "\n".join([*lines, lines[0]])), (102, "\n".join([*lines, *lines[:2] * 100]))]
+    check_classes(near_dedup.near_classes(spark.createDataFrame(pairs, "doc_id long, text string")).collect(), pairs)
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     x, y = rng.integers(1, 6, 200).astype(float), rng.integers(1, 6, 200).astype(float)
