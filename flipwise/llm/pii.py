@@ -3,8 +3,10 @@
 The base spans always stand.  The tagger is trained by the driver on a bounded
 sample of windows (``MAX_TEXTS``, ``MAX_WINDOWS``) that are labelled with the
 base spans and with rewritten forms of them.  It then reads every whole text
-in overlapping windows.  All four kinds need a digit or an @, so a window
-without either is O throughout by definition and is not computed.  Where
+in overlapping windows.  An added span needs a digit or an @ (an anchor), as
+the base forms of all four kinds do, so only windows that hold an anchor or a
+part of its word are computed; forms spelled out in words are out of reach.
+Where
 windows overlap, the probabilities of a character are averaged, weighted by
 its distance from the window's edge, and each run of windows is decoded once
 as a whole; a span is added if it is likely enough and touches no base span.
@@ -33,18 +35,27 @@ MAX_TEXTS, MAX_WINDOWS = 1_500, 3_000
 LIKELY, LEAST_LENGTH = 0.95, 6
 ANCHOR = re.compile(r"[0-9@]")
 ANCHORED = r"[0-9@]"
+WORD = re.compile(r"\S+")
 RUN_AT_ONCE = 2_048
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of the windows that hold an anchor; the grid is fixed, every character lies in two windows but at the ends."""
+    """Starts of the windows that hold an anchor or a part of an anchor's word, from the white space before it to the one after.
+
+    The grid is fixed, every character lies in two windows but at the ends.
+    """
     last = max(0, -(-(len(text) - WINDOW) // STRIDE))
     out: list[int] = []
+    begin = end = 0
     for m in ANCHOR.finditer(text):
-        at = m.start() // STRIDE
-        for k in (at - 1, at):
-            if 0 <= k <= last and (not out or k > out[-1]):
-                out.append(k)
+        at = m.start()
+        if at >= end:
+            begin, end = at, WORD.match(text, at).end()
+            while begin > 0 and not text[begin - 1].isspace():
+                begin -= 1
+        for k in range(max(0, min(at // STRIDE - 1, (begin - 1) // STRIDE), out[-1] + 1 if out else 0),
+                       min(last, max(at, end - 1) // STRIDE) + 1):
+            out.append(k)
     return [k * STRIDE for k in out]
 
 

@@ -400,6 +400,35 @@ def test_personal_data(spark, docs, empty):
     assert pii.fit(spark.createDataFrame([(1, "no anchor")], "doc_id long, text string")) is None
 
 
+class _WordTagger:
+    """Sees an e-mail address in every word of more than 20 characters, and in every word that a window cuts."""
+
+    ok = pii_model.allowed()
+
+    def marginals(self, windows):
+        out = np.full((*windows.shape, pii_model.TAGS), 1e-4, np.float32)
+        for w, chars in enumerate(windows):
+            words = re.finditer("x+", "".join("x" if c > 1 and c != 97 else " " for c in chars))
+            out[w, :, 0] = 1
+            for a, b in (m.span() for m in words if m.end() - m.start() > 20 or m.start() == 0 or m.end() == len(chars)):
+                out[w, a:b, 0], out[w, a:b, 2] = 1e-4, 1
+                if a:
+                    out[w, a, 1], out[w, a, 2] = 1, 1e-4
+        return out
+
+
+@pytest.mark.parametrize("shift", range(0, 64, 7))
+def test_added_spans_keep_their_whole_word(shift):
+    address = "first.of.very.many.names." * 6 + "last[@]" + "host.of.many.parts." * 6 + "example.com"
+    text = "w " * 60 + "v" * shift + " " + address + " and" * 40 + " end" * 30
+    begin = text.index("first")
+    starts = pii.window_starts(text)
+    assert starts[0] < begin and starts[-1] + pii.WINDOW > begin + len(address)
+    assert starts == sorted(set(starts)) and all(a % pii.STRIDE == 0 for a in starts)
+    added = pii.added_spans(text, pii_rules.base_spans(text), pii.likely_spans([text], _WordTagger())[0])
+    assert added[0] == [(begin, begin + len(address))]
+
+
 def test_tagger_learns_and_adds_rewritten_spans():
     rng = random.Random(4)
     words = ["the", "ondre", "stion", "key7ab2", "in", "2024", "heble"]
