@@ -70,12 +70,12 @@ def _tags(n: int, spans: list[list[Span]]) -> np.ndarray:
 
 
 def _rewritten(text: str, spans: list[list[Span]]) -> Iterator[tuple[str, list[list[Span]]]]:
-    """Forms that the rules miss: a phone number without its +1, a card number with dots, an e-mail address around [@]."""
+    """Forms that the rules miss: a phone number without its +1, a card number with dots, an e-mail address around [@], an IP address around [.]."""
     for kind, found in enumerate(spans):
         for a, b in found[:2]:
             old = text[a:b]
             new = {"phone": re.sub(r"^\+[0-9]+ ?", "", old), "email": old.replace("@", "[@]", 1),
-                   "card": ".".join(re.findall(r"[0-9]{1,4}", re.sub(r"[ -]", "", old))), "ip": ""}[KINDS[kind]]
+                   "card": ".".join(re.findall(r"[0-9]{1,4}", re.sub(r"[ -]", "", old))), "ip": old.replace(".", "[.]")}[KINDS[kind]]
             if new and new != old:
                 left, right = text[max(0, a - 40):a], text[b:b + 40]
                 yield left + new + right, [[(len(left), len(left) + len(new))] if k == kind else [] for k in range(len(KINDS))]

@@ -13,7 +13,7 @@ from .pii_rules import KINDS
 
 TAGS = 1 + 2 * len(KINDS)
 EMBEDDING, HIDDEN = 12, 16
-EPOCHS, BATCH, RATE = 8, 64, 0.01
+EPOCHS, BATCH, RATE = 24, 64, 0.01
 #: Character classes: padding, printable ASCII, line breaks and tabs, other letters, the rest.
 CLASSES = 100
 

@@ -463,6 +463,37 @@ def test_tagger_learns_and_adds_rewritten_spans():
             assert not any(a < d and c < b for a, b in x for kind in base for c, d in kind)
 
 
+def test_production_tagger_adds_held_out_rewritten_spans(spark):
+    """``fit`` with its own parameters, trained on base forms; rewritten forms planted in texts that it has not seen."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(2, 9)))
+
+    def forms(kind):
+        card = "".join(rng.choice("0123456789") for _ in range(15))
+        card += next(d for d in "0123456789" if pii_rules.luhn(card + d))
+        address = [str(rng.randint(1, 254)) for _ in range(4)]
+        name, phone = f"{word()}.{rng.randint(10, 99)}", f"({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}"
+        return {"email": (f"{name}@mail{rng.randint(1, 9)}.example.com", f"{name}[@]mail{rng.randint(1, 9)}.example.com"),
+                "ip": (".".join(address), "[.]".join(address)), "phone": (f"+1 {phone}", phone),
+                "card": (card, ".".join(re.findall("....", card)))}[kind]
+
+    def body(form):
+        return " ".join(word() for _ in range(rng.randint(10, 40))) + " " + form + " " + " ".join(word() for _ in range(30))
+
+    train = [(i, body(forms(pii_rules.KINDS[i % 4])[0])) for i in range(600)]
+    model = pii.fit(spark.createDataFrame(train, "doc_id long, text string"))
+    recall = {}
+    for k, kind in enumerate(pii_rules.KINDS):
+        found = 0
+        for _ in range(100):
+            form = forms(kind)[1]
+            text = body(form)
+            added = pii.added_spans(text, pii_rules.base_spans(text), pii.likely_spans([text], model)[0])
+            found += (text.index(form), text.index(form) + len(form)) in added[k]
+        recall[kind] = found / 100
+    assert min(recall.values()) >= 0.8, recall
+
+
 # ------------------------------------------------------------ quality
 
 def test_ledger_equals_brute_force(docs, empty):
