@@ -8,7 +8,8 @@ its predecessor kept.  All but the last return the columns of ``documents``.
 1. quality: documents whose tail probability (well written and not toxic) is below 0.5 go;
 2. exact dedup: of equal texts the largest doc_id stays;
 3. near dedup: of each near-duplicate class the smallest doc_id stays;
-4. mixing: documents are taken towards the weights of the domain-language-source tree, each at most once;
+4. mixing: documents are taken towards the weights of the domain-language-source tree, each at most once; a document
+   costs its estimated tokens and the end token that packing gives it;
 5. packing: what is left is packed into sequences of 2,048 tokens.
 """
 
@@ -42,7 +43,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs, mixing.document_levels(), mixing.WEIGHTS, fraction=MIXED_FRACTION, max_epochs=1, seed=mixing.SEED)
+    taken = mixing.mix(docs, mixing.document_levels(), mixing.WEIGHTS, fraction=MIXED_FRACTION, max_epochs=1, seed=mixing.SEED,
+                       tokens=mixing.text_tokens() + F.lit(1))
     return taken.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -54,5 +54,12 @@ def test_pipeline_stages(spark, sf_small):
     assert packed.select("doc_id").distinct().count() == n
 
 
+def test_pipeline_mixing_counts_the_end_token(spark, sf_small):
+    """Empty texts are sequences of one token after packing, so they take their part of the budget."""
+    rows = [(i, "", "en", "src0", 0) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.mixed(spark, docs, sf_small).count() == 80
+
+
 def test_pipeline_run(spark, sf_small):
     assert corpus_pipeline.run(spark, sf_small).count() > 0
