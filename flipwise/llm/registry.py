@@ -16,6 +16,7 @@ from .packing import pack
 from .pii import personal_data
 from .quality_model import judged
 from .quality_rules import apply_policy, ledger
+from .spelling import spelling_sql, spelling_variants
 from .token_counts import token_counts
 from .token_index import token_shards
 from .warc import archive
@@ -69,6 +70,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_digest(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {i + 1}, 5))::INT >> {s}) & 31) + 1, 1)"
@@ -98,4 +104,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = winner THEN '
     "op7_exact_dedup": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d""",
+    "op11_spelling_variants": spelling_sql(),
 }
