@@ -17,6 +17,7 @@ from .pii import personal_data
 from .quality_model import judged
 from .quality_rules import apply_policy, ledger
 from .spelling import spelling_sql, spelling_variants
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .token_index import token_shards
 from .warc import archive
@@ -74,6 +75,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_digest(table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {i + 1}, 5))::INT >> {s}) & 31) + 1, 1)"
