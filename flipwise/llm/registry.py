@@ -111,4 +111,15 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = winner THEN '
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d""",
     "op11_spelling_variants": spelling_sql(),
+    "op12_suffix_dedup": """WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST) AS o, hex(coalesce(text, '')) AS x, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents),
+ch AS (SELECT o, n_bytes, unnest(list_transform(range((n_bytes + 199) // 200), lambda j: x[400 * j + 1:400 * j + 598])) AS y,
+  unnest(range((n_bytes + 199) // 200)) AS j FROM d),
+w AS (SELECT o, unnest(list_transform(range(least(200, n_bytes - 200 * j)), lambda k: CASE WHEN 200 * j + k + 100 <= n_bytes THEN md5(y[2 * k + 1:2 * k + 200]) END)) AS h,
+  unnest(list_transform(range(least(200, n_bytes - 200 * j)), lambda k: 200 * j + k)) AS i,
+  unnest(list_transform(range(least(200, n_bytes - 200 * j)), lambda k: y[2 * k + 1:2 * k + 2])) AS byte FROM ch),
+s AS (SELECT o, i, byte, CASE WHEN h IS NOT NULL AND row_number() OVER (PARTITION BY h ORDER BY o, i) > 1 THEN 1 ELSE 0 END AS again FROM w),
+c AS (SELECT o, i, byte, max(again) OVER (PARTITION BY o ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) = 1 AS gone FROM s),
+e AS (SELECT o, i, byte, gone, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY o ORDER BY i) AS opens FROM c),
+k AS (SELECT o, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM e GROUP BY o)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (o)""",
 }
