@@ -33,13 +33,17 @@ from .tokens import VOCABULARY, Encoder, release, text_array
 
 MODEL = "piece_bpe_32k.model"
 #: Text of a block, and A tokens of a lane (about: lanes end before a word).
-BLOCK_BYTES, LANE_TOKENS = 4_000_000, 256
+BLOCK_BYTES, LANE_TOKENS = 2_000_000, 256
+#: Pieces that each of the two encoders remembers.
+PIECES = 200_000
 SPACE = "▁"
 
 
 class PlainEncoder(Encoder):
     """Ids under a byte-level vocabulary; the strings of special tokens inside texts are plain text."""
 
+    most = PIECES
+
     def __init__(self, vocabulary: str = VOCABULARY):
         super().__init__(vocabulary)
         self.tokenizer.encode_special_tokens = True
@@ -55,6 +59,8 @@ class PlainEncoder(Encoder):
 class PieceEncoder(Encoder):
     """Ids under a sentencepiece model of texts that open with the space which the model adds itself."""
 
+    most = PIECES
+
     def __init__(self, model: str = MODEL):
         import public_tokenizers
         import sentencepiece

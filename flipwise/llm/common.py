@@ -44,6 +44,19 @@ def whole_text(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
 
 
+def row_of(docs: DataFrame) -> Column:
+    """The whole input row as one struct: columns computed beside it cannot meet the input's names."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it while the input has a column of that name (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Scratch folders of this process, per application.
 _SCRATCH: dict[str, list[str]] = {}
 

@@ -69,7 +69,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    Null ids and texts as in ``exact_groups``; of rows equal in id and text one stays; an empty table gives no rows.
+    """
     found = _annotated(docs, id_col, text_col).where("__first")
     text = F.when(~F.col("__null"), F.col("__text"))
     return found.select(*((text if c == text_col else F.col("__row").getField(c)).alias(c) for c in docs.columns))

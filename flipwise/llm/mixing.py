@@ -25,7 +25,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import free_name, row_of, stored, whole_text
 
 NONE = "(none)"
 
@@ -98,7 +98,11 @@ def _cut(sums: DataFrame, bucket: str, levels: list[str], rest: str) -> DataFram
 def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, int], *, target: int | None = None,
         fraction: float | None = None, max_epochs: int = 1, seed: int = 0, tokens: Column | None = None,
         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the budgets take, all their columns, and ``__epochs``, how often each is taken.
+    """The rows of ``docs`` that the budgets take, all their columns, and ``__n_tokens`` and ``__epochs``, how often each is taken.
+
+    Where ``docs`` has a column of one of these two names, in any case, the
+    added one gets underscores behind its name (``common.free_name``); the
+    columns of ``docs`` keep their names and values whatever they are called.
 
     ``target`` gives the budget in tokens, else ``fraction`` of those in the
     table.  A null level counts as the value "(none)".  Rows that repeat both
@@ -110,12 +114,12 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, int
     names = [f"__level_{i}" for i in range(len(levels))]
     tokens = tokens if tokens is not None else text_tokens(text_col)
     identity = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(whole_text(text_col)))
-    rows = docs.withColumns({n: F.coalesce(c.cast("string"), F.lit(NONE)) for n, c in zip(names, levels.values())}
-                            | {"__tokens": F.coalesce(tokens, F.lit(0)).cast("long")})
+    rows = docs.select(row_of(docs).alias("__row"), *(F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in zip(names, levels.values())),
+                       F.coalesce(tokens, F.lit(0)).cast("long").alias("__tokens"), identity.alias("__identity"))
     leaves = stored(rows.groupBy(*names).agg(F.sum("__tokens").alias("available")), "mixing-leaves")
     budgets = stored(leaf_budgets(leaves, names, weights, target, fraction, max_epochs), "mixing-budgets")
     with_budget = rows.join(budgets.select(*names, F.col("epochs").alias("__whole"), F.col("rest").alias("__rest")), names)
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__whole").cast("string"), identity))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__whole").cast("string"), F.col("__identity")))
     keyed = stored(with_budget.where("__rest > 0").select(*names, F.col("__rest").alias("rest"), order.alias("key"), F.col("__tokens").alias("tokens")), "mixing-keys")
     first = keyed.withColumn("b1", F.substring("key", 1, 2)).groupBy(*names, "rest", "b1").agg(F.sum("tokens").alias("tokens"))
     cut1 = _cut(first, "b1", names, "rest")
@@ -129,7 +133,7 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, int
     ends = stored(over.groupBy(*names).agg(F.min("key").alias("__end")), "mixing-ends")
     taken = F.col("__whole") + F.when((F.col("__rest") > 0) & (F.col("__end").isNull() | (order < F.col("__end"))), 1).otherwise(0)
     return with_budget.join(ends, names, "left").withColumn("__epochs", taken).where("__epochs > 0") \
-        .select(*(F.col(f"`{c}`") for c in docs.columns), F.col("__tokens").alias("__n_tokens"), F.col("__epochs").cast("int"))
+        .select("__row.*", F.col("__tokens").alias(free_name(docs, "__n_tokens")), F.col("__epochs").cast("int").alias(free_name(docs, "__epochs")))
 
 
 # The tree of the registered query and of the pipeline: a domain is given by the last character of the source.

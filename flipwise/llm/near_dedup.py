@@ -4,10 +4,14 @@ A text's elements are its distinct shingles of five words.  Each element sends
 a Poisson process of arrivals, faster with its weight, each arrival at a
 uniformly drawn register; a register keeps the element that arrives first.
 Two texts agree in a register with the probability Jaccard similarity of their
-weighted elements.  Links are decided by the Jaccard similarity of the shingle
-sets, so every shingle has weight 1 here, however often it occurs: the two
-similarities are then the same.  Arrivals later than the latest register are
-never generated: an element stops as soon as its clock passes it.
+weighted elements.  Arrivals later than the latest register are never
+generated: an element stops as soon as its clock passes it.
+
+Registers are drawn under two weightings: by occurrences, which finds texts
+that are near as bags of shingles, and with weight 1 for every shingle.  Links
+are decided by the Jaccard similarity of the shingle sets, which the second
+weighting estimates, so it alone has recall by design; the first one adds
+candidates.  A text whose shingles all occur once has the same registers in both.
 
 Registers are cut into bands; texts that share a band are candidates.
 Candidates meet in blocks of bounded size, where the Jaccard similarity of
@@ -40,6 +44,8 @@ from .tokens import release, text_array
 WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5 registers: a pair at 0.8 shares a band but for a chance of 5e-5.
 BANDS, ROWS = 25, 5
+#: Bands of the registers weighted by occurrences.
+WEIGHTED_BANDS = 8
 SLICE_BYTES = 4_000_000
 #: A block of candidates holds about so many texts, and about so many bytes of them.
 BLOCK_TEXTS, BLOCK_BYTES = 512, 16_000_000
@@ -122,14 +128,25 @@ def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
 
 
 def band_hashes(texts: pa.Array, bands: int, rows: int, words: int) -> list[np.ndarray | None]:
-    """The band hashes of each text; None for a text without words."""
-    owner, element, _ = shingles(texts, words)
+    """The band hashes of each text, of unit weights and of occurrences; None for a text without words."""
+    owner, element, times = shingles(texts, words)
     n = len(texts)
-    signature = signatures(owner, element, np.ones(len(owner)), n, bands * rows)
-    value = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407), (n, bands)).copy()
-    for k in range(rows):
-        value = _mix(value + signature[:, k::rows])
     held = np.bincount(owner, minlength=n) > 0
+    registers = signatures(owner, element, np.ones(len(owner)), n, bands * rows)
+    weighted = registers[:, :min(bands, WEIGHTED_BANDS) * rows].copy()
+    repeats = np.unique(owner[times > 1])
+    if len(repeats):
+        some = np.isin(owner, repeats)
+        weighted[repeats] = signatures(np.searchsorted(repeats, owner[some]), element[some], times[some].astype(float),
+                                       len(repeats), bands * rows)[:, :weighted.shape[1]]
+    each = []
+    for number, signature in ((1, registers), (bands + 1, weighted)):
+        count = signature.shape[1] // rows
+        value = np.broadcast_to(np.arange(number, number + count, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407), (n, count)).copy()
+        for k in range(rows):
+            value = _mix(value + signature[:, k::rows])
+        each.append(value)
+    value = np.concatenate(each, axis=1)
     return [value[i].view(np.int64) if held[i] else None for i in range(n)]
 
 
@@ -261,6 +278,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and the row with it stays; of rows that repeat that id the one with the
     least MD5, of equal rows one.  Null counts as empty; equal texts share a
     class, whatever their length; texts without words are near no other text.
+    Other columns, whatever their names, change nothing; an empty table gives no rows.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     seen = stored(_with_bands(plain, bands, rows, words), "near-bands")
@@ -278,7 +296,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each class, with all their columns."""
+    """The rows of ``docs`` that stay, one of each class, with all their columns, whatever their names.
+
+    Null ids and texts as in ``near_classes``; of rows equal in id and text one stays; an empty table gives no rows.
+    """
     kept = near_classes(docs, id_col, text_col, **kw).where("kept").select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(id_col).cast("long").alias("__key"),
                        F.md5(whole_text(text_col)).alias("__md5"), F.col(text_col).isNull().alias("__null"))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, byte_slices, ship, whole_text
+from .common import arrow_map, byte_slices, free_name, row_of, ship, whole_text
 from .tokens import release, text_array
 
 #: Labelled rows that the fit takes at most.
@@ -51,7 +51,7 @@ def word_features(word: str) -> tuple[int, int, int]:
     core = word.strip(EDGE)
     marks = word.replace(core, " ", 1) if core else word
     shape = "upper" if len(core) > 1 and core.isupper() else "digit" if any(c.isdigit() for c in core) else "plain" if core else "none"
-    return _code("w" + core.lower()), _code("m" + marks[:8]), _code("s" + shape)
+    return _code("w" + core.lower()), _code("m" + marks), _code("s" + shape)
 
 
 def _bucket(value: np.ndarray, edges: list[float]) -> np.ndarray:
@@ -177,7 +177,8 @@ def fit_flat(flat: np.ndarray, amount: np.ndarray, size: np.ndarray, grades: np.
 
 def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, id_col: str = "doc_id", text_col: str = "text",
         max_labelled: int = MAX_LABELLED, seed: int = 0) -> OrdinalModel:
-    """Fit on at most ``max_labelled`` rows of ``labels`` (id, grade not null), joined to their texts.
+    """Fit on at most ``max_labelled`` texts: the rows of ``labels`` (id, grade not null) with the smallest seeded hash of
+    the id, joined to their texts; where ids repeat, of those the texts with the smallest hash of their features.
 
     Without any labelled text the model has no weights and puts every text in the highest grade.
     """
@@ -212,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, id_col
 
     # the sample is ordered by a hash of its features, so the fit does not depend on the cluster; repeated ids are bounded too
     sample = arrow_map(rows, features, "grade int, found array<int>, amount array<float>") \
-        .orderBy(F.xxhash64("found"), "grade").limit(2 * max_labelled)
+        .orderBy(F.xxhash64("found"), "grade").limit(max_labelled)
     got = arrow_map(sample, train, "at array<int>, weight array<float>, thresholds array<double>").first()
     weights = np.zeros(DIMENSIONS, np.float32)
     if got is None:
@@ -222,11 +223,22 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, id_col
 
 
 def with_scores(docs: DataFrame, model: OrdinalModel, tail: int, text_col: str = "text") -> DataFrame:
-    """``docs`` with __expected_grade and __tail (P(grade >= tail)).
+    """``docs`` with __expected_grade and __tail (P(grade >= tail)); see ``_scored`` on clashing names.
 
     Null, empty and blank texts get grade 0 for certain; repeated rows each
     keep their row; an empty table gives no rows.
     """
+    scored = _scored(docs, model, tail, text_col)
+    return scored.select("row.*", F.col("expected").alias(free_name(docs, "__expected_grade")), F.col("tail").alias(free_name(docs, "__tail")))
+
+
+def _scored(docs: DataFrame, model: OrdinalModel, tail: int, text_col: str) -> DataFrame:
+    """(row, expected, tail): each row of ``docs`` as a struct, its expected grade and P(grade >= tail).
+
+    Names of ``docs`` meet none of those computed here.  Where a caller adds
+    its columns to those of ``docs`` and a name is taken, in any case, the
+    added one gets underscores behind it (``common.free_name``).
+    """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # a fixed 4 MB
@@ -237,10 +249,10 @@ def with_scores(docs: DataFrame, model: OrdinalModel, tail: int, text_col: str =
             yield pa.array(shared.value.score(text_array(batch)), pa.float64())
 
     scored.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    at_least = [1 / (1 + F.exp(F.lit(float(t)) - F.col("__score"))) for t in model.thresholds]
+    at_least = [1 / (1 + F.exp(F.lit(float(t)) - F.col("score"))) for t in model.thresholds]
     expected = sum(at_least[1:], at_least[0])
-    return docs.withColumn("__score", F.arrow_udf("double")(scored)(whole_text(text_col))) \
-        .withColumns({"__expected_grade": expected, "__tail": at_least[tail - 1]}).drop("__score")
+    return docs.select(row_of(docs).alias("row"), F.arrow_udf("double")(scored)(whole_text(text_col)).alias("score")) \
+        .select("row", expected.alias("expected"), at_least[tail - 1].alias("tail"))
 
 
 # Grades of the labels table: 0 poor, 1 well written but toxic, 2 well written and not toxic.
@@ -253,11 +265,18 @@ def label_grade() -> Column:
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with __expected_grade, __tail and __kept, under a model fitted on ``labels``.
+    """``docs`` with __expected_grade, __tail and __kept, under a model fitted on ``labels``; see ``_scored`` on clashing names.
 
     Labels without id or grade are left out, repeated ones each count; texts
     without words are not kept; repeated rows and null ids keep their rows;
     an empty table gives no rows.
     """
+    scored = _scored(docs, fit(docs, labels, label_grade(), N_GRADES, id_col, text_col), TAIL, text_col)
+    return scored.select("row.*", F.col("expected").alias(free_name(docs, "__expected_grade")), F.col("tail").alias(free_name(docs, "__tail")),
+                         (F.col("tail") >= LEAST_TAIL).alias(free_name(docs, "__kept")))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with their own columns only, whatever these are called."""
     model = fit(docs, labels, label_grade(), N_GRADES, id_col, text_col)
-    return with_scores(docs, model, TAIL, text_col).withColumn("__kept", F.col("__tail") >= LEAST_TAIL)
+    return _scored(docs, model, TAIL, text_col).where(F.col("tail") >= LEAST_TAIL).select("row.*")

@@ -34,6 +34,9 @@ CHUNK = 100_000
 class Encoder:
     """Ids of texts under one vocabulary file, special strings inside texts handled as the library's default."""
 
+    #: Pieces that this encoder remembers.
+    most = CACHED_PIECES
+
     def __init__(self, vocabulary: str = VOCABULARY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
@@ -56,7 +59,7 @@ class Encoder:
         """Keep the pieces that were used most often, at most half the table."""
         names, at = list(self.place), np.fromiter(self.place.values(), np.int64, len(self.place))
         used = self.used[at]
-        floor = max(2, int(np.partition(used, -CACHED_PIECES // 2)[-CACHED_PIECES // 2]) + 1) if len(at) > CACHED_PIECES // 2 else 2
+        floor = max(2, int(np.partition(used, -self.most // 2)[-self.most // 2]) + 1) if len(at) > self.most // 2 else 2
         stay = np.flatnonzero(used >= floor)
         begin, count, pool = self.begin[at[stay]], self.count[at[stay]], self.pool
         self._forget()
@@ -128,7 +131,7 @@ class Encoder:
         per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         first = np.zeros(len(pieces), bool)
         first[np.cumsum(per_text) - per_text] = True
-        if self.n_pieces > CACHED_PIECES:
+        if self.n_pieces > self.most:
             self._shrink()
         coded = pieces.dictionary_encode()
         where = coded.indices.to_numpy(zero_copy_only=False)
