@@ -363,7 +363,9 @@ def _sorted_shard(folder: str, length: int, memory: int):
         file, place = of[snippet][later], place[later]
         order = np.lexsort((place, file))
         file, place = file[order], place[order]
-        new = np.flatnonzero(np.concatenate([[True], (file[1:] != file[:-1]) | (place[1:] > place[:-1] + 1)])) if len(file) else np.empty(0, np.int64)
+        if not len(file):
+            return _ranges([], [], [], [])
+        new = np.flatnonzero(np.concatenate([[True], (file[1:] != file[:-1]) | (place[1:] > place[:-1] + 1)]))
         last = np.append(new[1:], len(file)) - 1
         return _by_file(files, file[new], None, place[new], place[last] - place[new] + length)
 
