@@ -3,10 +3,12 @@
 Every curve and metric derives from ``score_curve``: one row per distinct
 score (per ``by`` group, e.g. per model) with the positives and negatives at
 that score and the cumulative counts from the top (predict positive when
-score >= threshold).  Rows are first collapsed to distinct scores (partial
-aggregation), and the cumulative sums use the two-level scheme of
-``rank.two_level_rank``: running totals per score bucket over a small table,
-then windows inside each bucket only.  No step moves all scores to one task.
+score >= threshold).  Rows are first collapsed to distinct scores
+(``score_counts``, partial aggregation), a table that can be stored, merged
+with that of new rows and read for every metric.  The cumulative sums of a
+large group use the two-level scheme of ``rank.two_level_rank``: running
+totals per score bucket over a small table, then windows inside each bucket
+only.  No step moves an unbounded number of scores to one task.
 
 Rules (the ones of the common Python reference implementation):
 
@@ -26,26 +28,51 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.numeric import fixed, ratio
 from .distribution import with_stats
-from .quantile import cut_bucket, sketch_cuts
+from .quantile import STATE_VALUES, group_cuts, largest_group, with_bucket
 
 N_BUCKETS = 4096
 
 
+def score_counts(df: DataFrame, label: str = C.OUTCOME, score: str = "score", by: list[str] | None = None) -> DataFrame:
+    """(by.., score, pos, neg) per distinct score: additive, so tables of it merge by summing.  Rows with a NULL label or score are ignored."""
+    y = F.col(label)
+    return (df.where(y.isNotNull() & F.col(score).isNotNull()).groupBy(*(by or []), score)
+            .agg(F.sum(y).cast("bigint").alias("pos"), F.count(y).alias("__n"))
+            .withColumn("neg", F.col("__n") - F.col("pos")).drop("__n"))
+
+
+def merge_counts(*counts: DataFrame, score: str = "score", by: list[str] | None = None) -> DataFrame:
+    """Sum of several ``score_counts`` tables."""
+    every = counts[0]
+    for more in counts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy(*(by or []), score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
 def score_curve(df: DataFrame, label: str = C.OUTCOME, score: str = "score",
-                by: list[str] | None = None, n_buckets: int = N_BUCKETS) -> DataFrame:
-    """One row per (by, distinct score): pos, neg, tp, fp, P, N, is_first, next_pos, next_neg.
+                by: list[str] | None = None, n_buckets: int = N_BUCKETS, state_rows: int = STATE_VALUES) -> DataFrame:
+    """The curve of the rows' distinct scores, see :func:`curve_of`."""
+    return curve_of(score_counts(df, label, score, by), score, by, n_buckets, state_rows)
 
-    Rows with a NULL label or score are ignored.  The buckets lie between cut
-    points of a bounded sketch of the scores themselves (one job), so any
-    range or crowding of scores spreads evenly; the result is exact with any cuts.
+
+def curve_of(g: DataFrame, score: str = "score", by: list[str] | None = None, n_buckets: int = N_BUCKETS,
+             state_rows: int = STATE_VALUES) -> DataFrame:
+    """One row per (by, distinct score) of a ``score_counts`` table: pos, neg, tp, fp, P, N, is_first, next_pos, next_neg.
+
+    The largest group is counted first.  Groups of up to ``state_rows`` scores
+    take one window each; beyond, each group is cut into buckets by a sketch of
+    its own scores, so any range or crowding of scores spreads evenly.  The
+    result is exact either way.
     """
     by = list(by or [])
-    y = F.col(label)
-    base = df.where(y.isNotNull() & F.col(score).isNotNull())
-    g = (base.groupBy(*by, score)
-         .agg(F.sum(y).cast("bigint").alias("pos"), F.count(y).alias("__n"))
-         .withColumn("neg", F.col("__n") - F.col("pos")).drop("__n")
-         .withColumn("__b", cut_bucket(score, sketch_cuts(base, score, n_buckets))))
+    if largest_group(g, by) <= state_rows:
+        down = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col(score).desc())
+        upto = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        every = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return g.select(*by, score, "pos", "neg", F.sum("pos").over(upto).alias("tp"), F.sum("neg").over(upto).alias("fp"),
+                        F.sum("pos").over(every).alias("P"), F.sum("neg").over(every).alias("N"), (F.row_number().over(down) == 1).alias("is_first"),
+                        F.lead("pos").over(down).alias("next_pos"), F.lead("neg").over(down).alias("next_neg"))
+    g = with_bucket(g, group_cuts(g, score, by, n_buckets), score, by, n_buckets)
     # Small table: one row per (by, bucket).
     bt = g.groupBy(*by, "__b").agg(
         F.sum("pos").alias("__bpos"), F.sum("neg").alias("__bneg"),
@@ -172,6 +199,40 @@ def confusion_counts(df: DataFrame, thresholds: DataFrame, label: str = C.OUTCOM
                  F.count_if((y == 1) & ~pred).alias("fn"), F.count_if((y == 1) & pred).alias("tp"))
 
 
+def confusion_of(g: DataFrame, thresholds: DataFrame, score: str = "score", by: list[str] | None = None) -> DataFrame:
+    """:func:`confusion_counts` from a ``score_counts`` table."""
+    by = list(by or [])
+    j = with_stats(g, thresholds.select(*by, "threshold"), by, score)
+    above = F.col(score) >= F.col("threshold")
+    total = lambda c, inside: F.coalesce(F.sum(F.when(inside, F.col(c))), F.lit(0))
+    return (j.groupBy(*by) if by else j.groupBy()).agg(total("neg", ~above).alias("tn"), total("neg", above).alias("fp"),
+                                                       total("pos", ~above).alias("fn"), total("pos", above).alias("tp"))
+
+
+def summary(curve: DataFrame, score: str = "score", by: list[str] | None = None) -> DataFrame:
+    """F9, F11, F12 and F13 of a curve in one aggregate: roc_auc, average_precision, threshold (maximal F1, lowest on ties), tn, fp, fn, tp at it."""
+    by = list(by or [])
+    d = "decimal(38,0)"
+    precision, recall = ratio("tp", F.col("tp") + F.col("fp")), F.when(F.col("P") > 0, ratio("tp", "P")).otherwise(F.lit(1.0))
+    best = F.max(F.struct(_f1(precision, recall).alias("f1"), (-F.col(score)).alias("neg_t"), F.col("tp"), F.col("fp")))
+    g = curve.groupBy(*by) if by else curve.groupBy()
+    one = g.agg(F.sum(F.col("pos").cast(d) * (F.col("N") - F.col("fp")).cast(d)).alias("__a"),
+                F.sum(F.col("pos").cast(d) * F.col("neg").cast(d)).alias("__t"), F.max("P").alias("__p"), F.max("N").alias("__n"),
+                F.sum(F.col("pos") * precision).alias("__s"), best.alias("__b"))
+    return one.select(
+        *by, ratio(F.lit(2).cast(d) * F.col("__a") + F.col("__t"), F.lit(2.0) * F.col("__p").cast("double") * F.col("__n").cast("double")).alias("roc_auc"),
+        ratio("__s", "__p").alias("average_precision"), (-F.col("__b.neg_t")).alias("threshold"),
+        (F.col("__n") - F.col("__b.fp")).alias("tn"), F.col("__b.fp").alias("fp"), (F.col("__p") - F.col("__b.tp")).alias("fn"), F.col("__b.tp").alias("tp"))
+
+
+def positive_scores() -> dict:
+    """F14, the part of the comparison table, as expressions over tn, fp, fn, tp: precision, recall and F1 of class 1, accuracy; 0/0 is 0."""
+    tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
+    z = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return {"precision_1": z(tp, tp + fp), "recall_1": z(tp, tp + fn), "f1_1": z(F.lit(2.0) * tp, F.lit(2.0) * tp + fn + fp),
+            "accuracy": z(tp + tn, tn + fp + fn + tp)}
+
+
 def confusion_matrix(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """long 2 x 2 table (actual, predicted, n), zero cells included."""
     by = list(by or [])

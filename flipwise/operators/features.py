@@ -93,22 +93,29 @@ def rederive_keys(df: DataFrame) -> DataFrame:
     return add_age_group(add_diagnosis_name(df.drop(C.DIAGNOSIS, C.AGE_GROUP)))
 
 
-def category_levels(df: DataFrame, col: str) -> list:
+#: Levels of a categorical column: more are an error (an id taken for a category), not a cut.
+MOST_LEVELS = 10_000
+
+
+def category_levels(df: DataFrame, col: str, most: int = MOST_LEVELS) -> list:
     """Sorted distinct non-NULL levels of a categorical column."""
-    return category_levels_multi(df, [col])[col]
+    return category_levels_multi(df, [col], most)[col]
 
 
-def category_levels_multi(df: DataFrame, cols: list[str]) -> dict:
+def category_levels_multi(df: DataFrame, cols: list[str], most: int = MOST_LEVELS) -> dict:
     """Sorted distinct non-NULL levels of several categorical columns, one job.
 
     The level lists are schema (one output column per level), so they have to
     be known on the driver: the job reads the distinct (column, level) pairs,
-    as many as the table will have columns.
+    as many as the table will have columns.  More than ``most`` levels of a
+    column raise an error before the driver reads them all.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("v"))
                                 for i, c in enumerate(cols)]))
     rows = (df.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull())
-            .distinct().collect())
+            .distinct().limit(most * len(cols) + 1).collect())
+    if len(rows) > most * len(cols) or any(sum(r["c"] == i for r in rows) > most for i in range(len(cols))):
+        raise ValueError(f"more than {most} levels in one of {cols}")
     out = {}
     for i, c in enumerate(cols):
         vals = [r["v"] for r in rows if r["c"] == i]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.numeric import capped_share, direction, pct, ratio, round_half_even
-from .quantile import cut_bucket, exact_median, sketch_cuts
+from .quantile import STATE_VALUES, cut_bucket, exact_median, sketch_cuts
 from .rank import two_level_rank
 
 
@@ -43,6 +43,27 @@ def outcome_rate(df: DataFrame, keys, outcome: str = C.OUTCOME,
             .withColumn(pct_name, pct(rate_name)))
 
 
+def outcome_profiles(df: DataFrame, profiles: dict[str, list[str]], outcome: str = C.OUTCOME) -> DataFrame:
+    """D1 over several key sets in one scan: profile, the keys (typed, NULL where the profile lacks one), count, total, rate, percent.
+
+    One aggregate over GROUPING SETS; rows with a NULL in a key are dropped
+    from the profiles that have that key only (T1).
+    """
+    keys = list(dict.fromkeys(k for ks in profiles.values() for k in ks))
+    y = F.col(outcome)
+    number = lambda ks: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in ks)
+    name = F.lit(None).cast("string")
+    whole = F.lit(True)
+    for label, ks in profiles.items():
+        name = F.when(F.col("__set") == number(ks), F.lit(label)).otherwise(name)
+        held = _not_null(ks) if ks else F.lit(True)
+        whole = whole & F.when(F.col("__set") == number(ks), held).otherwise(F.lit(True))
+    grouped = df.groupingSets([[F.col(k) for k in ks] for ks in profiles.values()], *keys) \
+        .agg(F.grouping_id().alias("__set"), F.sum(y).cast("bigint").alias("Flipped_Count"), F.count(y).alias("Total"))
+    return (grouped.where(whole).withColumn("Flip_Rate", ratio("Flipped_Count", "Total")).withColumn("Flip_Pct", pct("Flip_Rate"))
+            .select(name.alias("profile"), *keys, "Flipped_Count", "Total", "Flip_Rate", "Flip_Pct"))
+
+
 def overall_rate(df: DataFrame, outcome: str = C.OUTCOME) -> DataFrame:
     """One-row overall rate (mean of the non-NULL outcomes)."""
     y = F.col(outcome)
@@ -82,8 +103,8 @@ def rate_heatmap(df: DataFrame, row_key: str = C.DIAGNOSIS, col_key: str = C.AGE
     column level; combinations without rows are filled with 0.
 
     One pivot aggregate over the known column levels (no pairing of key
-    lists), unpivoted; a level that no row has is dropped (a window per level
-    over the aggregated rows, one row per row key).
+    lists), unpivoted; a level that no row has is dropped (by one broadcast row
+    of level totals).
     """
     levels = C.AGE_LABELS if levels is None else levels
     base = df.where(_not_null([row_key, col_key]))
@@ -92,8 +113,12 @@ def rate_heatmap(df: DataFrame, row_key: str = C.DIAGNOSIS, col_key: str = C.AGE
     cells = F.array(*[F.struct(F.lit(lv).alias(col_key), F.col(f"{lv}_s").alias("__s"),
                                F.col(f"{lv}_n").alias("__n")) for lv in levels])
     long = wide.select(row_key, F.inline(cells))
-    seen = F.max(F.coalesce(F.col("__n"), F.lit(0))).over(Window.partitionBy(col_key))
-    return (long.withColumn("__seen", seen).where(F.col("__seen") > 0)
+    # whether a level has rows: one row of totals, not a window that holds every row key of a level
+    totals = base.agg(*[F.count_if(F.col(col_key) == lv).alias(f"t{i}") for i, lv in enumerate(levels)])
+    seen = F.lit(0)
+    for i, lv in enumerate(levels):
+        seen = F.when(F.col(col_key) == lv, F.col(f"t{i}")).otherwise(seen)
+    return (long.crossJoin(F.broadcast(totals)).where(seen > 0)
             .select(row_key, col_key,
                     F.coalesce(pct(ratio("__s", "__n")), F.lit(0.0)).alias("Flip_Pct")))
 
@@ -186,8 +211,9 @@ def median_order(df: DataFrame, key: str = C.DIAGNOSIS, value: str = C.LOS,
 
     ``distributed`` computes exact medians with bounded work per task
     (:mod:`quantile`); ``exact`` is the built-in aggregate with the same
-    values.  Keys whose values are all NULL keep a row, ranked last.  The rank
-    goes by buckets of the median, so many keys are not sorted in one task.
+    values.  Keys whose values are all NULL keep a row, ranked last.  Up to
+    ``STATE_VALUES`` keys (they are counted) are ranked in one window, more by
+    buckets of the median.
     """
     base = df.where(F.col(key).isNotNull())
     if method == "distributed":
@@ -195,10 +221,13 @@ def median_order(df: DataFrame, key: str = C.DIAGNOSIS, value: str = C.LOS,
     else:
         m = F.median(value) if method == "exact" else F.percentile_approx(value, 0.5, 100_000).cast("double")
         agg = base.groupBy(key).agg(m.alias("median"))
-    cuts = sketch_cuts(base, value, 64)
+    order = [F.col("median").desc_nulls_last(), F.col(key)]
+    if agg.count() <= STATE_VALUES:
+        one = Window.partitionBy(F.lit(0)).orderBy(*order)
+        return agg.withColumn("order", F.row_number().over(one))
+    cuts = sketch_cuts(agg, "median", 64)
     bucket = F.coalesce(-cut_bucket("median", cuts), F.lit(1))
-    return two_level_rank(agg, [], [F.col("median").desc_nulls_last(), F.col(key)], bucket, out="order") \
-        .withColumn("order", (F.col("order") + 1).cast("int"))
+    return two_level_rank(agg, [], order, bucket, out="order").withColumn("order", (F.col("order") + 1).cast("int"))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

@@ -47,14 +47,14 @@ class TrainResult:
     fold_scores: DataFrame | None = None
 
 
-#: Rows of a partition of the training table at least and at most, and its partitions in between.
-LEAST_ROWS, MOST_ROWS, TRAIN_PARTITIONS = 20_000, 1_000_000, 8
+#: Rows of a partition of the training table: so many, up to SPREAD partitions; beyond those partitions stay as many until each holds MOST_ROWS.
+LEAST_ROWS, MOST_ROWS, SPREAD = 20_000, 100_000, 40
 
 
 def training_partitions(n_rows: int) -> int:
     """Partitions of the training table, from its rows alone: seeded fits depend
     on the layout, so it must not depend on the cluster."""
-    return max(1, min(TRAIN_PARTITIONS, -(-n_rows // LEAST_ROWS)), -(-n_rows // MOST_ROWS))
+    return max(1, min(SPREAD, -(-n_rows // LEAST_ROWS)), -(-n_rows // MOST_ROWS))
 
 
 def prepare(split_table: DataFrame, label: str = C.OUTCOME) -> tuple[DataFrame, list[str]]:
@@ -158,34 +158,54 @@ def train_and_score(split_table: DataFrame, names: list[str] | None = None, n_fo
     return TrainResult(data, feats, n_train, models, scored, folds)
 
 
-def metrics_table(test_scores: DataFrame, fold_scores: DataFrame, order: list[str], tune_on: str = "test",
-                  digits: int | None = None) -> DataFrame:
-    """F9-F16 numeric: per model AUC, AP, CV mean / population sd, threshold,
-    class-1 precision / recall / F1, accuracy.
+#: Fold number of the test rows in a curve state.
+TEST = -1
+
+
+def curve_state(test_scores: DataFrame, fold_scores: DataFrame) -> DataFrame:
+    """(model, fold, score, pos, neg) of test rows (fold ``TEST``) and held-out folds: all that the metrics need.
+
+    Additive: the state of more rows is added with ``evaluate.merge_counts``.
+    """
+    cols = ["model", "fold", "score", C.OUTCOME]
+    rows = test_scores.withColumn("fold", F.lit(TEST)).select(*cols).unionByName(fold_scores.withColumn("fold", F.col("fold").cast("int")).select(*cols))
+    return EV.score_counts(rows, C.OUTCOME, "score", ["model", "fold"])
 
-    ``tune_on='test'`` picks the threshold on the test rows, as the analysed
-    pipeline does; ``'validation'`` picks it on the held-out fold scores.
+
+def state_metrics(state: DataFrame, order: list[str], tune_on: str = "test", digits: int | None = None) -> DataFrame:
+    """F9-F16 numeric from a curve state: per model AUC, AP, CV mean / population sd, threshold, class-1 precision / recall / F1, accuracy.
+
+    One scan of the state.  ``tune_on='test'`` picks the threshold on the test
+    rows, as the analysed pipeline does; ``'validation'`` picks it on the
+    pooled fold scores (and reads the state three times).
     """
-    by = ["model"]
-    curve = EV.score_curve(test_scores, C.OUTCOME, "score", by)
-    tuned = {"test": curve, "validation": None}[tune_on]
-    best = EV.best_f1_threshold(EV.score_curve(fold_scores, C.OUTCOME, "score", by) if tuned is None else tuned, "score", by)
-    auc = EV.roc_auc(curve, by)
-    ap = EV.average_precision(curve, by, digits)
-    counts = EV.confusion_counts(test_scores, best, C.OUTCOME, "score", by)
-    rep = EV.classification_report(counts, by)
-    cls1 = rep.where(F.col("class") == "1").select(
-        "model", F.col("precision").alias("precision_1"), F.col("recall").alias("recall_1"),
-        F.col("f1_score").alias("f1_1"))
-    acc = rep.where(F.col("class") == "accuracy").select("model", F.col("f1_score").alias("accuracy"))
-    mean, sd = F.avg("roc_auc"), F.stddev_pop("roc_auc")
+    each = EV.summary(EV.curve_of(state, "score", ["model", "fold"]), "score", ["model", "fold"])
+    is_test = F.col("fold") == TEST
+    mean, sd = F.avg(F.when(~is_test, F.col("roc_auc"))), F.stddev_pop(F.when(~is_test, F.col("roc_auc")))
+    ap = F.col("__t.average_precision")
     if digits is not None:
-        mean, sd = fixed(mean, digits), fixed(sd, digits)
-    cv = fold_auc(fold_scores).groupBy("model").agg(mean.alias("cv_auc_mean"), sd.alias("cv_auc_sd"))
+        mean, sd, ap = fixed(mean, digits), fixed(sd, digits), fixed(ap, digits)
+    one = each.groupBy("model").agg(mean.alias("cv_auc_mean"), sd.alias("cv_auc_sd"), F.max(F.when(is_test, F.struct(
+        "roc_auc", "average_precision", "threshold", "tn", "fp", "fn", "tp"))).alias("__t"))
+    point = {c: F.col(f"__t.{c}") for c in ("threshold", "tn", "fp", "fn", "tp")}
+    if tune_on == "validation":
+        pooled = EV.merge_counts(state.where(~is_test).drop("fold"), by=["model"])
+        best = EV.best_f1_threshold(EV.curve_of(pooled, "score", ["model"]), "score", ["model"]).select("model", "threshold")
+        one = one.join(best.join(EV.confusion_of(state.where(is_test), best, "score", ["model"]), "model"), "model")
+        point = {c: F.col(c) for c in point}
+    elif tune_on != "test":
+        raise ValueError(f"unknown rows to tune on: {tune_on!r}")
     position = F.create_map(*[x for i, n in enumerate(order) for x in (F.lit(n), F.lit(i))])
-    return (auc.join(ap, by).join(cv, by).join(best.select("model", "threshold"), by)
-            .join(cls1, by).join(acc, by)
-            .withColumn("position", F.try_element_at(position, F.col("model"))))
+    return one.select("model", F.col("__t.roc_auc").alias("roc_auc"), ap.alias("average_precision"), "cv_auc_mean", "cv_auc_sd",
+                      *(c.alias(n) for n, c in point.items())) \
+        .select("model", "roc_auc", "average_precision", "cv_auc_mean", "cv_auc_sd", "threshold",
+                *(e.alias(n) for n, e in EV.positive_scores().items()), F.try_element_at(position, F.col("model")).alias("position"))
+
+
+def metrics_table(test_scores: DataFrame, fold_scores: DataFrame, order: list[str], tune_on: str = "test",
+                  digits: int | None = None) -> DataFrame:
+    """:func:`state_metrics` of scored rows."""
+    return state_metrics(curve_state(test_scores, fold_scores), order, tune_on, digits)
 
 
 def fold_auc(fold_scores: DataFrame) -> DataFrame:

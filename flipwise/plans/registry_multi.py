@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import cohort as CO
+from ..operators import cube as CU
 from ..operators import distribution as DI
+from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..operators import profile as PR
 from ..operators import scenario as SC
 from ..session import ensure_checkpoint_dir
-from ..sources.tables import read_csv, table, write_table
+from ..sources.tables import publish_table, read_csv, read_published, table, write_table
 from . import models as M
 from . import oracle as O
-from .encounters import cleaned_encounters, split_encounters
-from .registry_eval import _FEATS, SPLIT_CTE, _box_sql, _density_sql, _scen_sql
-from .registry_profile import _COHORT_WHERE, COHORT
+from .encounters import cleaned_encounters, split_encounters, stored_once
+from .registry_eval import _FEATS, SPLIT_CTE, _box_sql, _density_sql, _hist_sql, _scen_sql
+from .registry_profile import _COHORT_WHERE, COHORT, _by_outcome_cte, _flag_sql, _rate_sql
 
 MULTI_QUERIES = {}
 MULTI_SQL = {}
@@ -88,9 +90,13 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return long.where(F.col("split") == "test"), long.where(F.col("fold").isNotNull())
 
 
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve state of the three scores, one scan of the split table, stored once per application."""
+    return stored_once(spark, sf_dir, "curve-state", lambda: M.curve_state(*_scored(spark, sf_dir)))
+
+
 def _metrics(spark, sf_dir):
-    test, folds = _scored(spark, sf_dir)
-    return M.metrics_table(test, folds, SCORES, digits=12)
+    return M.state_metrics(_state(spark, sf_dir), SCORES, digits=12)
 
 
 @register("multi_metrics", O.with_clean("SELECT * FROM mm", _METRICS))
@@ -119,7 +125,8 @@ def q_multi_best(spark, sf_dir):
 
 @register("multi_fold_auc", O.with_clean("SELECT model, fold, roc_auc FROM fauc", _METRICS))
 def q_multi_fold_auc(spark, sf_dir):
-    return M.fold_auc(_scored(spark, sf_dir)[1])
+    by = ["model", "fold"]
+    return EV.roc_auc(EV.curve_of(_state(spark, sf_dir).where(F.col("fold") != M.TEST), "score", by), by)
 
 
 # ---------------------------------------------------------------- importances
@@ -197,3 +204,108 @@ _c, _s = _scen_sql("bl AS (SELECT DISTINCT DiagnosisName, CAST(0.46 AS DOUBLE) A
 def q_capacity_constant_baseline(spark, sf_dir):
     segments = PR.outcome_rate(cleaned_encounters(spark, sf_dir), C.DIAGNOSIS).select(C.DIAGNOSIS)
     return SC.capacity_scenarios(segments, baseline=C.BASELINE_FLIP_RATE)
+
+
+# ---------------------------------------------------------------- several profiles from one scan, the cohort cube
+
+PROFILES = {"diagnosis": [C.DIAGNOSIS], "insurance": [C.INSURANCE], "gender": [C.GENDER], "abnormal vitals": [C.ABNORMAL_COUNT],
+            "diagnosis and age": [C.DIAGNOSIS, C.AGE_GROUP]}
+_PROFILE_KEYS = [C.DIAGNOSIS, C.INSURANCE, C.GENDER, C.ABNORMAL_COUNT, C.AGE_GROUP]
+
+
+def _profiles_sql() -> str:
+    parts = []
+    for name, keys in PROFILES.items():
+        columns = ", ".join(k if k in keys else f"NULL AS {k}" for k in _PROFILE_KEYS)
+        parts.append(f"SELECT '{name}' AS profile, {columns}, Flipped_Count, Total, Flip_Rate, Flip_Pct FROM ({_rate_sql(keys)})")
+    return " UNION ALL ".join(parts)
+
+
+@register("outcome_profiles", O.with_clean(_profiles_sql()))
+def q_outcome_profiles(spark, sf_dir):
+    """D1 over five key sets in one scan."""
+    return PR.outcome_profiles(cleaned_encounters(spark, sf_dir), PROFILES)
+
+
+def cohort_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube of the cleaned encounters, stored once per application."""
+    return stored_once(spark, sf_dir, "cohort-cube", lambda: CU.cohort_cube(cleaned_encounters(spark, sf_dir)))
+
+
+def _cohort_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CO.cohort_filter(cohort_cube(spark, sf_dir), **COHORT)
+
+
+@register("cube_cohort_rates", O.with_clean(_rate_sql([C.DIAGNOSIS], where=_COHORT_WHERE)))
+def q_cube_cohort_rates(spark, sf_dir):
+    return CU.rates(_cohort_cells(spark, sf_dir), C.DIAGNOSIS)
+
+
+@register("cube_cohort_kpis", O.with_clean(
+    "SELECT COUNT(*) AS n_total, CAST(SUM(Flipped) AS BIGINT) AS n_flipped,"
+    " CAST(SUM(Flipped) AS DOUBLE) / COUNT(Flipped) AS flip_rate,"
+    f" {O.pct_sql('CAST(SUM(Flipped) AS DOUBLE) / COUNT(Flipped)')} AS flip_pct,"
+    " COUNT(*) FILTER (WHERE Flipped = 0) AS n_stayed,"
+    f" {O.pct_sql('CAST(COUNT(*) FILTER (WHERE Flipped = 0) AS DOUBLE) / COUNT(*)')} AS stayed_pct,"
+    " AVG(OU_LOS_hrs) AS los_mean_all, AVG(CASE WHEN Flipped = 1 THEN OU_LOS_hrs END) AS los_mean_flipped,"
+    " AVG(CASE WHEN Flipped = 0 THEN OU_LOS_hrs END) AS los_mean_stayed, AVG(Age) AS age_mean FROM coh", _COH.rstrip(", ")))
+def q_cube_cohort_kpis(spark, sf_dir):
+    return CU.kpis(_cohort_cells(spark, sf_dir))
+
+
+@register("cube_cohort_flags", O.with_clean(_flag_sql(), _COH + _by_outcome_cte(C.FLAG_COLUMNS).replace("FROM clean", "FROM coh")))
+def q_cube_cohort_flags(spark, sf_dir):
+    return CU.flag_prevalence(_cohort_cells(spark, sf_dir))
+
+
+_c, _s = _hist_sql("Age", "Flipped", 16, _COHORT_WHERE)
+
+
+@register("cube_cohort_age_histogram", O.with_clean(_s, _c))
+def q_cube_cohort_age_histogram(spark, sf_dir):
+    return CU.histogram_by_outcome(_cohort_cells(spark, sf_dir), C.AGE, C.OUTCOME, 16)
+
+
+# ---------------------------------------------------------------- inferred types (A1), published tables (A2)
+
+_MIXED = {  # column: (Spark, DuckDB) text of a cell, from the columns of events-like keys of ``orders``
+    "key": ("CAST(o_orderkey AS STRING)", "CAST(o_orderkey AS VARCHAR)"),
+    "sparse": ("CASE WHEN o_orderkey % 7 = 0 THEN 'NA' ELSE CAST(o_custkey AS STRING) END",
+               "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END"),
+    "half": ("CONCAT(CAST(o_custkey AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN '.5' ELSE '' END)",
+             "CAST(o_custkey AS VARCHAR) || CASE WHEN o_orderkey % 2 = 0 THEN '.5' ELSE '' END"),
+    "yes": ("CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'FALSE' END", "CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'FALSE' END"),
+    "status": ("CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderstatus END", "CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderstatus END"),
+    "late": ("CASE WHEN o_orderkey = 1 THEN 'x' ELSE CAST(o_orderkey AS STRING) END",
+             "CASE WHEN o_orderkey = 1 THEN 'x' ELSE CAST(o_orderkey AS VARCHAR) END"),
+    "nothing": ("'null'", "NULL"),
+}
+_SUMS = {"key": "bigint", "sparse": "double", "half": "double", "yes": "boolean", "status": "string", "late": "string", "nothing": "double"}
+
+
+@register("inferred_types", "WITH m AS (SELECT " + ", ".join(f"{d} AS {c}" for c, (_, d) in _MIXED.items()) + " FROM orders) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS type, COUNT(*) - COUNT({c}) AS n_missing, "
+    + (f"CAST(SUM(CAST({c} AS DOUBLE)) AS DOUBLE)" if t in ("bigint", "double") else
+       f"CAST(COUNT(*) FILTER (WHERE {c} = 'True') AS DOUBLE)" if t == "boolean" else f"CAST(SUM(LENGTH({c})) AS DOUBLE)")
+    + " AS total FROM m" for c, t in _SUMS.items()))
+def q_inferred_types(spark, sf_dir):
+    """A1 without a schema: a file of mixed columns from ``orders``, its inferred types, and what the typed columns add up to."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/mixed-{uuid.uuid4().hex[:12]}"
+    write_table(table(spark, sf_dir, "orders").selectExpr(*[f"{s} AS {c}" for c, (s, _) in _MIXED.items()]), path, "csv")
+    df = read_csv(spark, path, multi_line=False)
+    kinds = dict(df.dtypes)
+    total = {"boolean": lambda c: F.count_if(c), "string": lambda c: F.sum(F.length(c)), "bigint": F.sum, "double": F.sum}
+    one = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in kinds],
+                 *[total[t](F.col(c)).cast("double").alias(f"t_{c}") for c, t in kinds.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(f"n_{c}").alias("n_missing"),
+                                                  F.col(f"t_{c}").alias("total")) for c, t in kinds.items()])))
+
+
+@register("published_profile", O.with_clean(_rate_sql([C.DIAGNOSIS])))
+def q_published_profile(spark, sf_dir):
+    """A2: the scored table is published twice; a reader gets the second version whole."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/published-{uuid.uuid4().hex[:12]}"
+    encounters = cleaned_encounters(spark, sf_dir).select(C.ID, C.DIAGNOSIS, C.OUTCOME)
+    publish_table(encounters.where(F.col(C.OUTCOME) == 1), path)
+    publish_table(encounters, path)
+    return PR.outcome_rate(read_published(spark, path), C.DIAGNOSIS)

@@ -51,7 +51,7 @@ def test_curves_match_global_window_with_ties(spark):
     rows = [(rnd.choice([0.0, 0.25, 0.5, 0.5, 0.75, 1.0, rnd.random()]), rnd.randint(0, 1), i % 3)
             for i in range(3000)]
     df = spark.createDataFrame(rows, "score double, Flipped int, m int")
-    curve = EV.score_curve(df, by=["m"], n_buckets=8)   # coarse buckets: many scores per bucket
+    curve = EV.score_curve(df, by=["m"], n_buckets=8, state_rows=10)   # coarse buckets: many scores per bucket
     g = df.groupBy("m", "score").agg(F.sum("Flipped").alias("pos"), F.count("*").alias("n"))
     w = Window.partitionBy("m").orderBy(F.col("score").desc())
     ref = g.select("m", "score", F.sum("pos").over(w).alias("tp"),
