@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from .pii_rules import KINDS
+from .pii_rules import LABELS
 
-TAGS = 1 + 2 * len(KINDS)
+TAGS = 1 + 2 * len(LABELS)
 EMBEDDING, HIDDEN = 12, 16
 EPOCHS, BATCH, RATE = 24, 64, 0.01
 #: Character classes: padding, printable ASCII, line breaks and tabs, other letters, the rest.
@@ -29,7 +29,7 @@ def char_classes(text: str) -> np.ndarray:
 def allowed() -> np.ndarray:
     """1 where a tag may follow another: an inside tag needs the same kind before it."""
     ok = np.ones((TAGS, TAGS), bool)
-    for kind in range(len(KINDS)):
+    for kind in range(len(LABELS)):
         inside = 2 + 2 * kind
         ok[:, inside] = False
         ok[[inside - 1, inside], inside] = True
@@ -118,8 +118,12 @@ class Tagger:
 
     def marginals(self, windows: np.ndarray) -> np.ndarray:
         """(window, position, tag) probabilities of windows of character classes."""
+        return self.read(windows)[0]
+
+    def read(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, position, tag): the probabilities, and the emission scores that precede the transitions."""
         emission, *_ = self._emission(np.ascontiguousarray(windows.T))
-        return self._crf(emission)[0].transpose(1, 0, 2).astype(np.float32)
+        return self._crf(emission)[0].transpose(1, 0, 2).astype(np.float32), emission.transpose(1, 0, 2)
 
     def train(self, windows: np.ndarray, tags: np.ndarray, seed: int = 0, epochs: int = EPOCHS) -> Tagger:
         rng = np.random.default_rng(seed)
@@ -152,10 +156,10 @@ class Tagger:
         return self
 
 
-def decode(score: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    """The best allowed tag sequence under log scores (time, tag); the first tag is no inside tag."""
+def decode(score: np.ndarray, ok: np.ndarray, trans: np.ndarray | None = None) -> np.ndarray:
+    """The best allowed tag sequence under scores (time, tag) and transition scores (from, to); the first tag is no inside tag."""
     steps = len(score)
-    barred = np.where(ok, 0.0, -1e9)
+    barred = np.where(ok, 0.0 if trans is None else trans, -1e9)
     best = score[0] + np.where(np.arange(TAGS) % 2 == 0, -1e9 * (np.arange(TAGS) > 0), 0)
     came = np.zeros((steps, TAGS), np.int8)
     for t in range(1, steps):

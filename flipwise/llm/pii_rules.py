@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of the tagger: those of the base rules, and keys that open an account or a service.
+LABELS = (*KINDS, "secret")
 
 _BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -13,6 +15,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# What stands behind = or : (and a quote) as one word of letters, digits and + / _ -, long and with digits and letters mixed.
+_ASSIGNED = re.compile(r"(?<=[=:])[ ]?[\"']?([A-Za-z0-9+/_-]{20,200}+)(?![A-Za-z0-9+/_-])")
+
 Span = tuple[int, int]
 
 
@@ -56,6 +61,11 @@ def phones(text: str) -> list[Span]:
     return [m.span() for m in _PHONE.finditer(text) if 8 <= sum("0" <= c <= "9" for c in m[0]) <= 15]
 
 
+def assigned_keys(text: str) -> list[Span]:
+    """Spans that label secrets for training: values that are assigned and look drawn at random.  No base kind."""
+    return [m.span(1) for m in _ASSIGNED.finditer(text) if sum("0" <= c <= "9" for c in m[1]) >= 4 and sum(c.isalpha() for c in m[1]) >= 4]
+
+
 def base_spans(text: str) -> list[list[Span]]:
     """The base spans (start, end in code points) of each kind, in the order of ``KINDS``."""
     return [emails(text), ips(text), cards(text), phones(text)]
