@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.exact_sum import exact_sums
 from ..functions.numeric import fixed, ratio
 from .distribution import with_stats
 from .quantile import STATE_VALUES, group_cuts, largest_group, with_bucket
@@ -163,6 +164,98 @@ def average_precision(curve: DataFrame, by: list[str] | None = None, digits: int
         *by, (fixed(ap, digits) if digits is not None else ap).alias("average_precision"))
 
 
+def average_precision_exact(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """F12 without rounding: the terms add up exactly, so the bits do not depend on the partitioning."""
+    by = list(by or [])
+    total = exact_sums(curve, {"__s": F.col("pos") * ratio("tp", F.col("tp") + F.col("fp")), "__p": F.col("pos")}, by)
+    return total.select(*by, ratio("__s", "__p").alias("average_precision"))
+
+
+def _simplified(pts: DataFrame, x: str, y: str, bound, by: list[str]) -> DataFrame:
+    """First and last point of each (by, __cell) of points that lie in order of ``__n`` (a cell is a run of them).
+
+    ``error`` is the greatest vertical distance, over the points left out of the
+    cell, from the chord that replaces them; ``error_bound`` is ``bound`` of the
+    cell.  The table of cells is small; the points meet it in a join.
+    """
+    at = lambda f: f(F.struct(x, y, "threshold", "tp", "fp"), F.col("__n"))
+    cells = pts.groupBy(*by, "__cell").agg(at(F.min_by).alias("__f"), at(F.max_by).alias("__l"), F.max("P").alias("P"), F.max("N").alias("N"))
+    f, l = F.col("__f"), F.col("__l")  # noqa: E741
+    run = l[x] - f[x]
+    chord = F.when(run != 0, f[y] + (l[y] - f[y]) * ((F.col(x) - f[x]) / F.nullif(run, F.lit(0.0)))).otherwise(F.col(y))
+    joined = pts.select(*by, "__cell", x, y).join(cells, [*by, "__cell"], "inner")
+    worst = joined.groupBy(*by, "__cell").agg(F.max(F.abs(F.col(y) - chord)).alias("error"), F.first("__f").alias("__f"), F.first("__l").alias("__l"),
+                                              F.first("P").alias("P"), F.first("N").alias("N"))
+    ends = F.when(f["threshold"].eqNullSafe(l["threshold"]), F.array(f)).otherwise(F.array(f, l))
+    return worst.withColumn("error_bound", bound(f, l)).select(*by, F.inline(F.transform(ends, lambda p: F.struct(
+        p[x].alias(x), p[y].alias(y), p["threshold"].alias("threshold"), F.col("error").alias("error"), F.col("error_bound").alias("error_bound")))))
+
+
+def roc_curve_bounded(curve: DataFrame, max_points: int = 512, score: str = "score", by: list[str] | None = None) -> DataFrame:
+    """F17 in at most ``max_points`` points a group: fpr, tpr, threshold, error, error_bound; :func:`roc_curve` stays exact.
+
+    Both rates only rise, so fpr + tpr orders the points; it is cut into equal
+    cells and each keeps its first and last point.  Between them tpr rises by at
+    most ``error_bound``, so no point left out is farther from the chord.
+    Groups without positives or without negatives have no points.
+    """
+    by = list(by or [])
+    n_cells = _cells(max_points)
+    pts = (curve.where((F.col("P") > 0) & (F.col("N") > 0))
+           .withColumn("fpr", ratio("fp", "N")).withColumn("tpr", ratio("tp", "P")).withColumn("threshold", F.col(score).cast("double"))
+           .withColumn("__n", F.col("tp") + F.col("fp"))
+           .withColumn("__cell", F.least(F.floor((F.col("fpr") + F.col("tpr")) * F.lit(n_cells / 2)), F.lit(n_cells - 1)))
+           .select(*by, "__cell", "__n", "fpr", "tpr", "threshold", "tp", "fp", "P", "N"))
+    kept = _simplified(pts, "fpr", "tpr", lambda f, l: l["tpr"] - f["tpr"], by)
+    start = curve.where(F.col("is_first") & (F.col("P") > 0) & (F.col("N") > 0)).select(
+        *by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(None).cast("double").alias("threshold"),
+        F.lit(0.0).alias("error"), F.lit(0.0).alias("error_bound"))
+    return kept.unionByName(start)
+
+
+def pr_curve_bounded(curve: DataFrame, max_points: int = 1024, score: str = "score", by: list[str] | None = None) -> DataFrame:
+    """F8 in at most ``max_points`` points a group: recall, precision, threshold, error, error_bound; :func:`pr_curve` stays exact.
+
+    Cells are by the number predicted positive, n = tp + fp: its leading bits,
+    as many as ``max_points`` allows, so a cell spans a fixed share of n and the
+    few points of small n all stay.  Within a cell precision lies between
+    tp_first / (tp_first + fp_last) and tp_last / (tp_last + fp_first);
+    ``error_bound`` is the greatest distance of those from either end of the
+    chord.  Groups without positives have no points.
+    """
+    by = list(by or [])
+    _cells(max_points)
+    n, bits = F.col("__n"), F.length(F.bin(F.col("P") + F.col("N")))
+    # 2^lead cells for each length of n, two points a cell and the final point; bits of n are few, so integers decide
+    lead = F.lit(-1)
+    for b in range(0, 21):
+        lead = F.when(bits.cast("bigint") * F.lit(2 ** (b + 1)) + 1 <= F.lit(max_points), F.lit(b)).otherwise(lead)
+    drop = F.greatest(F.length(F.bin(n)) - 1 - F.col("__lead"), F.lit(0))
+    pts = (curve.where(F.col("P") > 0).withColumn("recall", ratio("tp", "P")).withColumn("__n", F.col("tp") + F.col("fp"))
+           .withColumn("precision", ratio("tp", "__n")).withColumn("threshold", F.col(score).cast("double")).withColumn("__lead", lead)
+           # lead < 0: even one cell a length is too many, so all of a group's points but the ends go
+           .withColumn("__cell", F.when(F.col("__lead") < 0, F.lit(0).cast("bigint"))
+                       .otherwise(drop.cast("bigint") * F.lit(2 ** 32) + F.call_function("shiftright", n, drop)))
+           .select(*by, "__cell", "__n", "recall", "precision", "threshold", "tp", "fp", "P", "N"))
+
+    def bound(f, l):  # noqa: E741
+        high, low = ratio(l["tp"], l["tp"] + f["fp"]), F.coalesce(ratio(f["tp"], f["tp"] + l["fp"]), F.lit(0.0))
+        one = f["threshold"] == l["threshold"]
+        return F.when(one, F.lit(0.0)).otherwise(F.greatest(high - F.least(f["precision"], l["precision"]), F.greatest(f["precision"], l["precision"]) - low))
+    kept = _simplified(pts, "recall", "precision", bound, by)
+    final = curve.where(F.col("is_first") & (F.col("P") > 0)).select(
+        *by, F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"), F.lit(None).cast("double").alias("threshold"),
+        F.lit(0.0).alias("error"), F.lit(0.0).alias("error_bound"))
+    return kept.unionByName(final)
+
+
+def _cells(max_points: int) -> int:
+    """Cells of two points each beside the point that every curve ends with."""
+    if max_points < 4:
+        raise ValueError("a curve needs at least 4 points")
+    return (max_points - 1) // 2
+
+
 def roc_curve(curve: DataFrame, score: str = "score", by: list[str] | None = None,
               drop_intermediate: bool = True) -> DataFrame:
     """(fpr, tpr, threshold) points, starting at (0, 0) with a NULL threshold.

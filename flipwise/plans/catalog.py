@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .registry_eval import EVAL_QUERIES, EVAL_SQL
+from .registry_exact import EXACT_QUERIES, EXACT_SQL
 from .registry_models import MODEL_QUERIES
 from .registry_multi import MULTI_QUERIES, MULTI_SQL
 from .registry_profile import PROFILE_QUERIES, PROFILE_SQL
@@ -25,6 +26,7 @@ def queries() -> dict[str, QueryFn]:
     out.update(PROFILE_QUERIES)
     out.update(EVAL_QUERIES)
     out.update(MULTI_QUERIES)
+    out.update(EXACT_QUERIES)
     out.update(MODEL_QUERIES)
     return out
 
@@ -34,6 +36,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(PROFILE_SQL)
     out.update(EVAL_SQL)
     out.update(MULTI_SQL)
+    out.update(EXACT_SQL)
     return out
 
 
