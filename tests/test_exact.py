@@ -17,6 +17,7 @@ from flipwise.operators import model_table as MT
 from flipwise.plans import models as M
 from flipwise.plans import registry_multi as RM
 from flipwise.plans.encounters import cleaned_encounters, split_encounters
+from flipwise.plans.registry_exact import EXACT_QUERIES
 
 
 def bits(df):
@@ -141,9 +142,23 @@ def test_bounded_curves_of_one_class(spark):
         EV.roc_curve_bounded(curve, 3)
 
 
-def test_model_tables_score_like_the_models(spark, sf_small):
+@pytest.fixture(scope="module")
+def small_models(spark, sf_small):
     small = {"Random Forest": dict(numTrees=9, maxDepth=5), "Gradient Boosting": dict(maxIter=6, maxDepth=3)}
-    res = M.train_and_score(split_encounters(spark, sf_small), overrides=small, parallelism=4, n_folds=1)
+    return M.train_and_score(split_encounters(spark, sf_small), overrides=small, parallelism=4, n_folds=1)
+
+
+def test_stored_model_scores(spark, sf_small, small_models, monkeypatch):
+    """The registered query, on small ensembles: tables published, read back and scored."""
+    monkeypatch.setattr(M, "trained", lambda spark, sf_dir: (small_models, None))
+    stored = EXACT_QUERIES["stored_model_scores"](spark, sf_small)
+    both = stored.withColumnRenamed("score", "mine").join(small_models.test_scores.select(C.ID, "model", "score"), [C.ID, "model"])
+    n, off = both.agg(F.count("mine"), F.max(F.abs(F.col("mine") - F.col("score")))).first()
+    assert n == stored.count() == small_models.test_scores.count() and off <= 1e-12
+
+
+def test_model_tables_score_like_the_models(spark, small_models):
+    res = small_models
     test = res.data.where(F.col("split") == "test")
     for name in M.TR.MODEL_ORDER:
         nodes = MT.node_table(spark, res.models[(name, None)])
