@@ -6,7 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -108,6 +109,20 @@ def write_atomically(folder: str, name: str, chunks: Iterator[bytes]) -> None:
     filesystem.move(part, f"{path}/{name}")
 
 
+def runs(items: Iterator, size: Callable, most: int) -> Iterator[Iterator]:
+    """Consecutive runs of ``items``, each ending once its sizes reach ``most``; use up a run before asking for the next."""
+    def run(first):
+        held = 0
+        for item in chain([first], items):
+            held += size(item)
+            yield item
+            if held >= most:
+                return
+
+    for first in items:
+        yield run(first)
+
+
 def byte_slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """(start, length) of consecutive runs of rows with about ``most`` bytes of text each."""
     start = held = 0

@@ -47,20 +47,30 @@ def _share(children: DataFrame, parent: list[str], node: str) -> DataFrame:
 
     In order of capacity per weight the filled children come first: a child is
     full if its capacity is at most its share of what the ones before leave.
+    Children are dealt out by sampled ranges of (parent, ratio, node); running
+    sums over the ranges of a parent, then inside one range, give what the ones
+    before use, so no task holds all children of a node that has millions.
     """
     children = children.withColumn("ratio", F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(F.lit(1e308)))
-    sibling = Window.partitionBy(*parent).orderBy("ratio", node)
-    before = sibling.rowsBetween(Window.unboundedPreceding, -1)
-    after = sibling.rowsBetween(0, Window.unboundedFollowing)
-    group = Window.partitionBy(*parent)
-    step = children.withColumns({"used": F.coalesce(F.sum("capacity").over(before), F.lit(0)), "rest_weight": F.sum("weight").over(after)})
+    dealt = stored(children.repartitionByRange(*parent, "ratio", node).withColumn("range", F.spark_partition_id()), "mixing-children")
+    sums = dealt.groupBy(*parent, "range").agg(F.sum("capacity").alias("c"), F.sum("weight").alias("w"))
+    earlier = Window.partitionBy(*parent).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sums.select(*parent, "range", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c_before"),
+                         (F.sum("w").over(Window.partitionBy(*parent)) - F.coalesce(F.sum("w").over(earlier), F.lit(0))).alias("w_from"))
+    before = Window.partitionBy(*parent, "range").orderBy("ratio", node).rowsBetween(Window.unboundedPreceding, -1)
+    step = dealt.join(ranges, [*parent, "range"]).withColumns({
+        "used": F.col("c_before") + F.coalesce(F.sum("capacity").over(before), F.lit(0)),
+        "rest_weight": F.col("w_from") - F.coalesce(F.sum("weight").over(before), F.lit(0))})
     step = step.withColumn("full", (F.col("weight") > 0) &
                            (F.col("capacity") * F.col("rest_weight") <= (F.col("parent_budget") - F.col("used")) * F.col("weight")))
-    step = step.withColumns({"full_tokens": F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))).over(group), F.lit(0)),
-                             "open_weight": F.coalesce(F.sum(F.when(~F.col("full"), F.col("weight"))).over(group), F.lit(0))})
+    step = stored(step.drop("range", "c_before", "w_from", "ratio", "used", "rest_weight"), "mixing-full")
+    totals = (step.groupBy(*parent) if parent else step.groupBy()).agg(
+        F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))), F.lit(0)).alias("full_tokens"),
+        F.coalesce(F.sum(F.when(~F.col("full"), F.col("weight"))), F.lit(0)).alias("open_weight"))
+    step = step.join(totals, parent) if parent else step.crossJoin(F.broadcast(totals))  # one row
     share = F.expr("CASE WHEN full THEN capacity WHEN weight = 0 OR open_weight = 0 THEN 0 "
                    "ELSE ((parent_budget - full_tokens) * weight) div open_weight END")
-    return step.withColumn("budget", share.cast("long")).drop("ratio", "used", "rest_weight", "full", "full_tokens", "open_weight")
+    return step.withColumn("budget", share.cast("long")).drop("full", "full_tokens", "open_weight")
 
 
 def leaf_budgets(leaves: DataFrame, levels: list[str], weights: Mapping[str, int], target: int | None, fraction: float | None,
@@ -68,7 +78,7 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: Mapping[str, int
     """Per leaf: its levels, available, budget, epochs (whole ones), rest (tokens of one more).
 
     ``weights`` maps node paths ("web", "web/en", "web/en/src0") to integers.
-    The table has one row per leaf; windows hold the children of one node.
+    The table has one row per leaf.
     """
     first = leaves.agg((F.sum("available") * max_epochs).alias("all"), F.sum("available").alias("once"))
     goal = F.lit(target).cast("long") if target is not None else F.floor(F.col("once") * F.lit(fraction)).cast("long")
@@ -80,7 +90,7 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: Mapping[str, int
         here = here.withColumn("weight", _weight(F.concat_ws("/", *at), weights, default_weight))
         above = root if node is None else node.select(*levels[:depth - 1], F.col("budget").alias("parent_budget"))
         joined = here.crossJoin(F.broadcast(above)) if node is None else here.join(above, levels[:depth - 1])  # one row
-        node = _share(joined, levels[:depth - 1] or [F.lit(0)], levels[depth - 1])
+        node = _share(joined, levels[:depth - 1], levels[depth - 1])
     out = node.join(leaves, levels)
     whole = F.expr("CASE WHEN available = 0 THEN 0 ELSE budget div available END")
     return out.select(*levels, "available", "budget", whole.cast("int").alias("epochs"),

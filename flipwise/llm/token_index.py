@@ -1,6 +1,7 @@
 """Token-id shards with a minimal perfect hash index from document key to payload offset.
 
-A shard file holds, in this order:
+A shard file holds at most ``SHARD_BYTES`` of payload and one slice of texts (a
+task writes several files where it has more), in this order:
 
 * the payload: ids of all documents joined, as 2-byte (vocabulary up to 65,536) or 4-byte little-endian integers;
 * record table: ``n + 1`` offsets (in ids) of the ``n`` documents, their keys, and whether the key is null;
@@ -28,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, open_folder, scratch_folder, stored, whole_text, write_atomically
+from .common import arrow_map, open_folder, runs, scratch_folder, stored, whole_text, write_atomically
 from .tokens import VOCABULARY, encoder, text_array
 
 MAGIC = b"TOKSHRD1"
 #: Bits per key at each level; more bits, fewer levels.
 GAMMA = 1.5
-MANIFEST = "shard int, file string, n_docs long, n_tokens long, first_key long, last_key long"
+#: A task begins another shard file once one holds this payload, so index and record table stay small.
+SHARD_BYTES = 256 << 20
+MANIFEST = "task int, part int, file string, n_docs long, n_tokens long, first_key long, last_key long"
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -167,9 +170,12 @@ class Shard:
 
 
 def write_token_shards(docs: DataFrame, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
-                       vocabulary: str = VOCABULARY, shards: int | None = None) -> DataFrame:
+                       vocabulary: str = VOCABULARY, shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode every whole text, append ``end_id``, write the shards in ascending order of key; returns the manifest.
 
+    A file ends once its payload reaches ``shard_bytes``, however much one task
+    has; ``shards`` fixes the number of tasks.
+
     Texts are dealt out by sampled ranges of the key (with a hash of the text
     behind it, so that rows of one repeated key may lie in several shards) and
     encoded after the shuffle: the shuffle moves texts once, ids go straight
@@ -198,24 +204,25 @@ def write_token_shards(docs: DataFrame, folder: str, end_id: int = 2, id_col: st
                     out[body] = ids
                     yield number[a:a + len(n)], null[a:a + len(n)], out, n + 1
 
-        name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}.tok"
-        said = write_shard(folder, name, 2 if max(size, end_id + 1) <= 1 << 16 else 4, encoded())
-        if said["n_docs"]:
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "file": [name],
-                                              **{k: pa.array([v], pa.int64()) for k, v in said.items()}})
+        width = 2 if max(size, end_id + 1) <= 1 << 16 else 4
+        for part, run in enumerate(runs(encoded(), lambda batch: width * batch[2].size, shard_bytes)):
+            name = f"shard-{task.partitionId():06d}-{part:04d}-{task.taskAttemptId()}.tok"
+            said = write_shard(folder, name, width, run)
+            yield pa.RecordBatch.from_pydict({"task": pa.array([task.partitionId()], pa.int32()), "part": pa.array([part], pa.int32()),
+                                              "file": [name], **{k: pa.array([v], pa.int64()) for k, v in said.items()}})
 
     manifest = arrow_map(dealt.sortWithinPartitions(*by).select("key", "text"), write, MANIFEST)
     return stored(manifest, "token-manifest")
 
 
 def shard_list(manifest: DataFrame) -> list[dict]:
-    """The manifest in order of shard with ``start``, the ids in all shards before.
+    """The manifest in order of key with ``shard``, its number, and ``start``, the ids in all shards before.
 
     One row per shard file, not per document: this metadata alone is read by the driver.
     """
     out, start = [], 0
-    for row in sorted((r.asDict() for r in manifest.collect()), key=lambda r: r["shard"]):
-        out.append(row | {"start": start})
+    for number, row in enumerate(sorted((r.asDict() for r in manifest.collect()), key=lambda r: (r["task"], r["part"]))):
+        out.append(row | {"shard": number, "start": start})
         start += row["n_tokens"]
     return out
 

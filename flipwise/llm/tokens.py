@@ -4,11 +4,14 @@ A byte-level BPE text can be cut before any single space that is followed by
 a non-space: the library's own pre-tokenizer always ends a piece there, so the
 ids of the parts joined are the ids of the whole.  Natural text repeats its
 words, hence each worker keeps a bounded table of the ids of pieces that it
-has encoded; the library encodes every piece that the table lacks.
+has encoded; the library encodes every piece that the table lacks.  Whether a
+vocabulary file is of that kind is read from its settings; with any other the
+library encodes each text whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -31,11 +34,28 @@ CUT = re.compile(r"(?= [^\s᠎])")
 CHUNK = 100_000
 
 
+def ends_pieces_at_spaces(tokenizer) -> bool:
+    """Whether the ids of a text are those of its parts, cut before single spaces that a non-space follows.
+
+    So it is for BPE behind the byte-level pre-tokenizer with its own pattern
+    and without an added space, if nothing rewrites the text first and no
+    added token holds white space or takes in what stands beside it.
+    """
+    spec = json.loads(tokenizer.to_str())
+    split = spec["pre_tokenizer"] or {}
+    plain = spec["normalizer"] is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+    byte_level = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+    whole = [t for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])]
+    return plain and byte_level and not whole
+
+
 class Encoder:
     """Ids of texts under one vocabulary file, special strings inside texts handled as the library's default."""
 
-    #: Pieces that this encoder remembers.
-    most = CACHED_PIECES
+    #: Pieces that this encoder remembers; none given, ``CACHED_PIECES``.
+    most: int | None = None
+    #: Whether texts may be cut before spaces (``ends_pieces_at_spaces``).
+    by_piece = True
 
     def __init__(self, vocabulary: str = VOCABULARY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,6 +63,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.by_piece = ends_pieces_at_spaces(self.tokenizer)
+        self.most = self.most or CACHED_PIECES
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self._forget()
@@ -73,7 +97,7 @@ class Encoder:
 
     def _in_chunks(self, text: str) -> np.ndarray:
         """A text with odd spaces: cut before single spaces that a non-space follows, joined to chunks."""
-        if len(text) <= CHUNK:
+        if len(text) <= CHUNK or not self.by_piece:
             return self._whole(text)
         out, held, n = [], [], 0
         for part in CUT.split(text):
@@ -148,7 +172,7 @@ class Encoder:
         return self.begin[at], self.count[at], per_text
 
     def _slice(self, texts: pa.Array, lengths_only: bool) -> tuple[np.ndarray, np.ndarray]:
-        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False) if self.by_piece else np.ones(len(texts), bool)
         rows = np.arange(len(texts))
         length = np.zeros(len(texts), np.int64)
         own = {int(i): self._in_chunks(texts[int(i)].as_py()) for i in rows[odd]}

@@ -23,9 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, open_folder, scratch_folder, stored, whole_text, write_atomically
+from .common import arrow_map, open_folder, runs, scratch_folder, stored, whole_text, write_atomically
 
 FRAME_BYTES = 1 << 20
+#: A task begins another bundle once one holds this many bytes of records, so its record map stays small.
+BUNDLE_BYTES = 256 << 20
 LEVEL = 3
 #: Fixed values of the Zstandard formats.
 SKIPPABLE_MAP, SKIPPABLE_SEEK, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -178,25 +180,32 @@ def page_of(identifier: str) -> int | None:
 
 
 def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                  date: str = "1970-01-01T00:00:00Z", least_bytes: int = 0, frame_bytes: int = FRAME_BYTES) -> DataFrame:
-    """One bundle per task; returns the manifest (file, records).  Null payloads count as empty, a null url is left out."""
+                  date: str = "1970-01-01T00:00:00Z", least_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+    """Bundles that end once their records reach ``bundle_bytes``, one or more per task; returns the manifest (file, records).
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+    Null payloads count as empty, a null url is left out.
+    """
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records():
-            nonlocal n
             for batch in batches:
                 for page, url, html, digest, kind, refers in zip(*(c.to_pylist() for c in batch.columns)):
-                    n += 1
                     name = page_identifier(page)
                     yield name, record_bytes(name, kind, date, url, html.encode(), digest,
                                              page_identifier(refers) if kind == "revisit" else None)
 
         task = TaskContext.get()
-        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.zst"
-        write_atomically(folder, name, bundle_chunks(records(), frame_bytes))
-        if n:
+        n = 0
+
+        def size(record: tuple[str, bytes]) -> int:
+            nonlocal n
+            n += 1
+            return len(record[1])
+
+        for part, run in enumerate(runs(records(), size, bundle_bytes)):
+            n = 0
+            name = f"part-{task.partitionId():06d}-{part:04d}-{task.taskAttemptId()}.warc.zst"
+            write_atomically(folder, name, bundle_chunks(run, frame_bytes))
             yield pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([n], pa.int64())})
 
     typed = with_record_types(pages, id_col, url_col, html_col, least_bytes)
@@ -244,7 +253,8 @@ def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, **
 
     Repeated rows are records of their own; all rows that repeat the winning
     id of a group are responses; if all ids of a group are null, so is the
-    winner's and every row is a response.
+    winner's and every row is a response.  Other columns are not read; an empty
+    table gives no rows and no bundle.
     """
     folder = folder or scratch_folder(spark, "warc")
     return read_bundles(write_bundles(pages, folder, **kw), folder)

@@ -65,6 +65,17 @@ def test_encoder_equals_the_library():
     assert enc.lengths(pa.array(cases)).tolist() == [len(g) for g in got]
 
 
+def test_other_vocabularies_are_encoded_whole(docs):
+    enc = tokens.encoder("word_bpe_49k.json")
+    cases = [t for _, t in texts()] + ["It's  A\ttest , of <|endoftext|> odd\u2003spaces", "Caf\u0065\u0301 " * 20_000]
+    plain = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in cases]
+    assert not enc.by_piece and tokens.encoder().by_piece
+    assert enc.lengths(pa.array(cases)).tolist() == [len(x) for x in plain]
+    assert np.concatenate([ids for _, ids, _ in enc.slices(pa.array(cases))]).tolist() == sum(plain, [])
+    got = token_counts.token_counts(docs, vocabulary="word_bpe_49k.json").collect()
+    assert sorted(r.n_tokens for r in got) == sorted(map(len, plain[:-2]))
+
+
 def test_encoder_table_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_PIECES", 50)
     enc = tokens.Encoder()
@@ -98,6 +109,27 @@ def test_token_shards(spark, docs, empty):
     assert token_index.token_shards(spark, empty).collect() == []
 
 
+def test_token_shards_end_at_their_bytes(spark, docs):
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        folder = scratch_folder(spark, "t")
+        manifest = token_index.write_token_shards(docs, folder, shards=1, shard_bytes=40)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    shards = token_index.shard_list(manifest)
+    assert len(shards) > 3 and [r["shard"] for r in shards] == list(range(len(shards)))
+    longest = sum(sorted(len(ids_of(t)) + 1 for _, t in texts())[-2:])  # one slice of two rows goes beyond the bound at most
+    assert all(2 * r["n_tokens"] < 40 + 2 * longest for r in shards)
+    got = sorted(token_index.read_token_shards(manifest, folder).collect(), key=lambda r: r.start)
+    one = sorted(token_index.token_shards(spark, docs, shards=1).collect(), key=lambda r: r.start)
+    assert [tuple(r)[:4] for r in got] == [tuple(r)[:4] for r in one]
+    # a key whose records lie in two shards is found whole
+    found = token_index.look_up(spark, manifest, folder, docs.select("doc_id").where("doc_id is not null")).collect()
+    assert collections.Counter((r.doc_id, len(r.ids)) for r in found) == \
+        collections.Counter((i, len(ids_of(t)) + 1) for i, t in texts() if i is not None)
+
+
 def test_token_counts(docs, empty):
     got = collections.Counter(tuple(r) for r in token_counts.token_counts(docs).collect())
     assert got == collections.Counter((i, len(t.encode()), len(ids_of(t)), len(ids_of(t)) > 1024) for i, t in texts())
@@ -316,6 +348,10 @@ def test_warc(spark):
         assert plain == b"".join(data for _, data in bundle)
         bundle.close()
     assert warc.archive(spark, pages.limit(0)).collect() == []
+    small = scratch_folder(spark, "w")
+    split = warc.write_bundles(pages, small, bundle_bytes=600)
+    assert split.count() > manifest.count() and split.agg(F.sum("records")).first()[0] == 8
+    assert collections.Counter(tuple(r)[:5] for r in warc.read_bundles(split, small).collect()) == got
 
 
 # ------------------------------------------------------------ personal data
@@ -589,6 +625,39 @@ def test_mixing_budgets_redistribute_among_siblings_first(spark):
     assert got == {("a", "x"): 100, ("a", "y"): 1000, ("b", "x"): 2900}  # a is full: its shortage goes to b
 
 
+@pytest.mark.parametrize("budget", [0, 5_000, 60_000, 10 ** 9])
+def test_mixing_budgets_of_many_siblings_equal_a_plain_loop(spark, budget):
+    rng = random.Random(3)
+    leaves = [(lang, f"s{k}", rng.choice([0, 1, 7, 50, rng.randint(1, 400)])) for lang, n in (("en", 900), ("de", 40), ("fr", 1)) for k in range(n)]
+    weights = {"en": 5, "de": 2, **{f"{a}/{b}": rng.choice([0, 1, 2, 9]) for a, b, _ in leaves if rng.random() < 0.4}}
+
+    def shares(total, children):  # (capacity, weight) by name
+        out, open_ = {}, sorted(children, key=lambda c: (children[c][0] / children[c][1] if children[c][1] else 1e308, c))
+        while open_ and children[open_[0]][1] and children[open_[0]][0] * sum(children[c][1] for c in open_) <= (total - sum(out.values())) * children[open_[0]][1]:
+            full = open_.pop(0)
+            out[full] = children[full][0]
+        left, rest = total - sum(out.values()), sum(children[c][1] for c in open_)
+        return out | {c: left * children[c][1] // rest if children[c][1] else 0 for c in open_}
+
+    capacity = collections.Counter()
+    for lang, _, n in leaves:
+        capacity[lang] += 2 * n
+    upper = shares(min(budget, sum(capacity.values())), {k: (c, weights.get(k, 1)) for k, c in capacity.items()})
+    expected = {}
+    for lang in capacity:
+        below = shares(upper[lang], {s: (2 * n, weights.get(f"{lang}/{s}", 1)) for a, s, n in leaves if a == lang})
+        expected |= {(lang, s): b for s, b in below.items()}
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges per parent
+    try:
+        table = spark.createDataFrame(leaves, "__level_0 string, __level_1 string, available long")
+        got = {(r["__level_0"], r["__level_1"]): r.budget for r in
+               mixing.leaf_budgets(table, ["__level_0", "__level_1"], weights, budget, None, 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert got == expected
+
+
 @pytest.mark.parametrize("epochs", [1, 3])
 def test_mixing_takes_prefixes_within_budget(spark, docs, empty, epochs):
     levels = {"lang": F.col("lang"), "source": F.col("source")}
