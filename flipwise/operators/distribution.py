@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exact_sum import exact_sums
 from ..functions.numeric import fixed, ratio
+from ..session import ensure_checkpoint_dir
 from .quantile import collapse, exact_quantiles
 
 
@@ -174,13 +175,16 @@ def exact_moments(df: DataFrame, value: str, groups: list[str] | None = None) ->
     """Per group: n, sum, mean, population sd, the same bits in any partitioning.
 
     Two passes over the distinct values with counts: the sum is exact and
-    rounded once, the squared distances from its mean likewise.
+    rounded once, the squared distances from its mean likewise.  The sums of the
+    first pass, a row per group, are checkpointed inside the call.
     """
     groups = list(groups or [])
     rows = collapse(df, value, groups)
     v, n = F.col("__v"), F.col("__cnt")
     total = _join_groups(_grouped(rows, groups).agg(F.sum(n).alias("n")), exact_sums(rows, {"sum": v}, groups, n), groups) \
         .withColumn("mean", ratio("sum", "n"))
+    ensure_checkpoint_dir(df.sparkSession)
+    total = total.checkpoint()
     apart = v - F.col("mean")
     squares = exact_sums(with_stats(rows, total.select(*groups, "mean"), groups, "__v"), {"__s2": apart * apart}, groups, n)
     return _join_groups(total, squares, groups).select(*groups, "n", "sum", "mean", F.sqrt(ratio("__s2", "n")).alias("sd"))
@@ -201,7 +205,9 @@ def density_bounded(df: DataFrame, value: str, groups: list[str] | None = None,
     of the sum over all values, whatever the data (but for rounding).  A group
     of one distinct value has bound 0.  All sums are exact, so the numbers do
     not depend on the partitioning.  Bandwidth and grid as in :func:`density`;
-    at most ``n_grid * (n_bins + 1)`` pairs per group meet.
+    at most ``n_grid * (n_bins + 1)`` pairs per group meet.  The numbers of each
+    group (a row) are checkpointed inside the call: the nodes and the grid read
+    them, and would else both repeat the sums and quartiles they come from.
     """
     groups = list(groups or [])
     base = _keys_not_null(df, value, groups)
@@ -213,6 +219,8 @@ def density_bounded(df: DataFrame, value: str, groups: list[str] | None = None,
           .withColumn("h", F.lit(0.9) * F.col("__spread") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
           .withColumn("w", (F.col("hi") - F.col("lo")) / F.lit(float(n_bins)))
           .select(*groups, "n", "lo", "hi", "h", "w"))
+    ensure_checkpoint_dir(df.sparkSession)
+    st = st.checkpoint()
     at = F.when(F.col("w") > 0, (F.col("__v") - F.col("lo")) / F.col("w")).otherwise(F.lit(0.0))
     left = F.least(F.floor("__at"), F.lit(n_bins - 1))
     share = F.col("__at") - F.col("__left")
@@ -224,9 +232,10 @@ def density_bounded(df: DataFrame, value: str, groups: list[str] | None = None,
     grid = (st.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
             .withColumn("x", F.col("lo") + F.col("point").cast("double") * (F.col("hi") - F.col("lo")) / F.lit(float(n_grid - 1))))
     z = (F.col("x") - (F.col("lo") + F.col("__node") * F.col("w"))) / F.col("h")
-    kernels = exact_sums(_join_groups(grid, nodes, groups), {"__s": F.col("__c") * F.exp(F.lit(-0.5) * z * z)}, [*groups, "point"])
+    # the numbers of a grid point are keys of the sum, so the grid is not computed again to be joined to it
+    kernels = exact_sums(_join_groups(grid, nodes, groups), {"__s": F.col("__c") * F.exp(F.lit(-0.5) * z * z)}, [*groups, "point", "x", "n", "h", "w"])
     bound = F.col("w") * F.col("w") / (F.lit(8.0 * SQRT_2PI) * F.col("h") * F.col("h") * F.col("h"))
-    return (grid.join(kernels, [*groups, "point"], "inner")
+    return (kernels
             .select(*groups, "point", "x", (F.col("__s") / (F.col("n") * F.col("h") * F.lit(SQRT_2PI))).alias("density"), bound.alias("error_bound")))
 
 
