@@ -38,6 +38,8 @@ LIKELY, LEAST_LENGTH = 0.95, 6
 ANCHOR = re.compile(r"[0-9@]")
 ANCHORED = r"[0-9@]"
 WORD = re.compile(r"\S+")
+#: Marks around a value that are no part of it.
+QUOTES = "\"'"
 RUN_AT_ONCE = 2_048
 
 
@@ -79,7 +81,7 @@ def _rewritten(text: str, spans: list[list[Span]]) -> Iterator[tuple[str, list[l
             old = text[a:b]
             new = {"phone": re.sub(r"^\+[0-9]+ ?", "", old), "email": old.replace("@", "[@]", 1), "secret": old.upper(),
                    "card": ".".join(re.findall(r"[0-9]{1,4}", re.sub(r"[ -]", "", old))), "ip": old.replace(".", "[.]")}[LABELS[kind]]
-            left, right = text[max(0, a - 40):a], text[b:b + 40]
+            left, right = text[max(0, a - 24 - a % STRIDE):a], text[b:b + 40]  # so that forms lie at every offset of the grid
             forms = [(left, new, right)] if new and new != old else []
             if LABELS[kind] == "secret":
                 forms.append((left.rstrip("\"'") + " " * left.endswith(("=\"", "='")), old, right.lstrip("\"'")))
@@ -185,13 +187,13 @@ def _spans(tags: np.ndarray, mean: np.ndarray, offset: int) -> Iterator[tuple[in
 
 
 def added_spans(text: str, base: list[list[Span]], seen: list[tuple[int, int, int, float]]) -> list[list[Span]]:
-    """The likely spans that touch no base span, hold an anchor and are long enough."""
+    """The likely spans, without white space and quotes around them, that touch no base span, hold an anchor and are long enough."""
     taken = sorted(s for kind in base for s in kind)
     out: list[list[Span]] = [[] for _ in LABELS]
     for kind, a, b, sure in seen:
-        while a < b and text[a].isspace():
+        while a < b and (text[a].isspace() or text[a] in QUOTES):
             a += 1
-        while b > a and text[b - 1].isspace():
+        while b > a and (text[b - 1].isspace() or text[b - 1] in QUOTES):
             b -= 1
         if sure >= LIKELY and b - a >= LEAST_LENGTH and ANCHOR.search(text, a, b) and not any(x < b and a < y for x, y in taken):
             out[kind].append((a, b))

@@ -686,3 +686,18 @@ def test_scratch_can_be_cleared(spark):
     assert clear_scratch(spark) >= 1
     fs, path = open_folder(folder)
     assert fs.get_file_info(path).type.name == "NotFound"
+
+
+def test_quotes_are_no_part_of_an_added_span():
+    text = "key = 'ab12cd34ef56' and \"9f8e7d6c5b\""
+    seen = [(4, 6, 20, 0.99), (4, 25, 37, 0.99)]
+    assert pii.added_spans(text, [[], [], [], []], seen)[4] == [(7, 19), (26, 36)]
+
+
+def test_rewritten_forms_lie_at_every_offset_of_the_grid():
+    starts = set()
+    for lead in range(60, 60 + pii.STRIDE):
+        text = "x " * (lead // 2) + " " * (lead % 2) + "4111111111111111 end"
+        spans = [*pii_rules.base_spans(text), []]
+        starts |= {found[2][0][0] % pii.STRIDE for _, found in pii._rewritten(text, spans) if found[2]}
+    assert len(starts) == pii.STRIDE
